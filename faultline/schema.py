@@ -34,13 +34,10 @@ class IdSpace:
 
     def label_of(self, node: Column) -> Column:
         """Label of an id; null outside every block."""
-        return F.element_at(
-            F.array(*[F.lit(name) for name in LABELS]),
-            F.when(self.has_label(node), F.floor(node / F.lit(self.span)).cast("int")),
-        )
-
-    def has_label(self, node: Column) -> Column:
-        return (node >= self.span) & (node < (len(LABELS) + 1) * self.span)
+        out = F.lit(None).cast("string")
+        for label in LABELS:
+            out = F.when(self.is_label(node, label), label).otherwise(out)
+        return out
 
     def is_label(self, node: Column, label: str) -> Column:
         low = self.base(label)

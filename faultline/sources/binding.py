@@ -29,6 +29,7 @@ class Graph:
     """The written graph tables of one data set, with lazily kept derivations."""
 
     spark: SparkSession
+    sf_dir: str
     scratch: Scratch
     ids: X.IdSpace
     package: DataFrame
@@ -52,6 +53,10 @@ class Graph:
     def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return self.once(name, lambda: self.scratch.keep(build(), name))
 
+    def source(self, table: str) -> str:
+        """Path of a warehouse table."""
+        return f"{self.sf_dir}/{table}.parquet"
+
     @property
     def dependents(self) -> SplitEdges:
         """Dependency edges keyed by the package depended on."""
@@ -267,7 +272,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
     )
     typosquat_of = scratch.keep(typosquat_edges(package.select("id", "name", "downloads_weekly")), "typosquat_of")
     return Graph(
-        spark, scratch, ids, package, version, maintainer, service, lockfile,
+        spark, sf_dir, scratch, ids, package, version, maintainer, service, lockfile,
         depends_on, resolved_in, maintained_by, typosquat_of, advisory,
     )
 
