@@ -1 +1,115 @@
-"""Pending."""
+"""Version-exact exposure."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from faultline import schema as X
+from faultline.catalog.registry import query, sql
+from faultline.catalog.traversal import ROUTES, found_routes
+from faultline.catalog.versions import incidents
+from faultline.operators import precision as P
+from faultline.operators import scans as S
+from faultline.operators.closure import reach
+from faultline.sources.binding import Graph
+
+
+def gate(g: Graph) -> DataFrame:
+    return g.kept("gate", lambda: P.hop1_gate(g.depends_on, incidents(g)))
+
+
+def pins(g: Graph) -> DataFrame:
+    return g.kept("pins", lambda: P.lockfile_pins(g.resolved_in, g.version, incidents(g), g.ids))
+
+
+def clean(g: Graph) -> DataFrame:
+    return g.kept("clean", lambda: P.clean_lockfiles(pins(g)))
+
+
+def refined(g: Graph) -> DataFrame:
+    return g.kept("refined", lambda: P.refine(
+        g.dependents, g.closure(6), incidents(g), gate(g), clean(g), X.DEFAULT_DEPTH, g.scratch))
+
+
+def kept(g: Graph) -> DataFrame:
+    return refined(g).where("kept").select("root", "node", "depth")
+
+
+@query("hop1_gate", sql("SELECT root, node, gated, CASE WHEN gated THEN first_out END AS constraint_ FROM gate"))
+def hop1_gate(g: Graph) -> DataFrame:
+    return gate(g).select("root", "node", "gated", "constraint_")
+
+
+@query("lockfile_pins", sql("SELECT root, node, version_id, semver, windowed FROM pins"))
+def lockfile_pins(g: Graph) -> DataFrame:
+    return pins(g)
+
+
+@query("clean_lockfiles", sql("SELECT root, node FROM clean"))
+def clean_lockfiles(g: Graph) -> DataFrame:
+    return clean(g)
+
+
+@query("gated_bfs", sql("SELECT root, node, depth FROM gclo"))
+def gated_bfs(g: Graph) -> DataFrame:
+    gated = gate(g).where("gated")
+    return reach(
+        g.dependents, incidents(g), X.DEFAULT_DEPTH, g.scratch, first_hop_blocked=gated, blocked=clean(g)
+    ).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+@query("refined_closure", sql("""
+SELECT c.root, c.node, g.node IS NOT NULL AS kept FROM clo c LEFT JOIN gclo g ON g.root=c.root AND g.node=c.node WHERE c.depth<=6"""))
+def refined_closure(g: Graph) -> DataFrame:
+    return refined(g).select("root", "node", "kept")
+
+
+@query("refined_routes", sql("""
+SELECT r.root, r.rank, array_to_string(r.chain,'>') AS chain FROM routes r
+WHERE NOT EXISTS (SELECT 1 FROM gate g WHERE g.root=r.root AND g.node=r.chain[2] AND g.gated)
+AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(r.chain[2:]) AS n) x WHERE NOT EXISTS (SELECT 1 FROM gclo c WHERE c.root=r.root AND c.node=x.n))""", ROUTES))
+def refined_routes(g: Graph) -> DataFrame:
+    out = P.keep_routes(found_routes(g), gate(g).where("gated"), kept(g))
+    return out.select("root", "rank", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
+
+
+REFINED = """
+SELECT b.root, i.bad_version, b.exposed_services AS services_before, r.exposed_packages, r.exposed_services, r.exposed_lockfiles, r.tier1_exposed,
+round(100.0::DOUBLE*b.exposed_services/f.total_services,1) AS percentage_before, round(100.0::DOUBLE*r.exposed_services/f.total_services,1) AS percentage,
+(SELECT count(*) FROM gate g WHERE g.root=b.root AND g.gated) AS excluded_direct
+FROM blast b JOIN rblast r ON r.root=b.root JOIN inc i ON i.root=b.root, fleet f"""
+
+
+def refined_radius(g: Graph) -> DataFrame:
+    return g.kept("refined_radius", lambda: P.blast_radius(kept(g), g.roots, g.service, S.fleet(g), g.ids))
+
+
+def precision_summary(g: Graph) -> DataFrame:
+    before = P.blast_radius(g.closure(6), g.roots, g.service, S.fleet(g), g.ids).select(
+        "root", F.col("exposed_services").alias("services_before"), F.col("percentage").alias("percentage_before")
+    )
+    excluded = gate(g).groupBy("root").agg(F.count_if("gated").alias("excluded_direct"))
+    return (
+        refined_radius(g)
+        .join(before, "root")
+        .join(incidents(g).select("root", "bad_version"), "root")
+        .join(excluded, "root", "left")
+        .fillna(0, ["excluded_direct"])
+    )
+
+
+@query("refined_blast", sql(REFINED))
+def refined_blast(g: Graph) -> DataFrame:
+    return precision_summary(g).select(
+        "root", "bad_version", "services_before", "exposed_packages", "exposed_services", "exposed_lockfiles",
+        "tier1_exposed", "percentage_before", "percentage", "excluded_direct",
+    )
+
+
+@query("resolved_while_live", sql("""
+SELECT v.package_id AS root, p.src AS lockfile_id, l.service_id, p.resolved_version AS semver,
+l.generated_at>=v.published_at AS after_publish
+FROM pin p JOIN ver v ON v.id=p.dst AND v.compromised_window JOIN lock l ON l.id=p.src"""))
+def resolved_while_live(g: Graph) -> DataFrame:
+    return S.resolved_while_live(g)

@@ -225,3 +225,21 @@ def exposure_flags(graph: Graph, closure: DataFrame) -> DataFrame:
             F.when(label == X.PACKAGE, is_root_or_bad).otherwise(exposed).alias("patchable"),
         )
     )
+
+
+def resolved_while_live(graph: Graph) -> DataFrame:
+    """Lockfiles that pinned a release published inside the compromise window."""
+    windowed = graph.version.where("compromised_window").select(
+        F.col("id").alias("dst"), F.col("package_id").alias("root"), "published_at"
+    )
+    owners = graph.lockfile.select(F.col("id").alias("lockfile_id"), "service_id", "generated_at")
+    return (
+        graph.resolved_in.where(graph.ids.is_label(F.col("src"), X.LOCKFILE))
+        .join(windowed, "dst")
+        .withColumnRenamed("src", "lockfile_id")
+        .join(owners, "lockfile_id")
+        .select(
+            "root", "lockfile_id", "service_id", F.col("resolved_version").alias("semver"),
+            (F.col("generated_at") >= F.col("published_at")).alias("after_publish"),
+        )
+    )

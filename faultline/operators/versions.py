@@ -22,7 +22,8 @@ def ranges_of(constraints: DataFrame, column: str = "constraint_") -> DataFrame:
 
 def history(versions: DataFrame, scratch: Scratch) -> DataFrame:
     """Releases of each package, highest first; unparseable ones count as 0.0.0."""
-    keyed = versions.join(keys_of(versions, "semver", V.lenient_key), "semver").withColumn(
+    plain = versions.select("package_id", "id", "semver")
+    keyed = plain.join(keys_of(plain, "semver", V.lenient_key), "semver").withColumn(
         "key", F.coalesce("key", V.lenient_key(F.lit("0.0.0")))
     )
     ordered = rank_within(keyed, ["package_id"], [F.desc("key"), F.asc("id")], scratch)
@@ -75,9 +76,12 @@ def bad_version(packages: DataFrame, versions: DataFrame, named: DataFrame, requ
     Order: requested, highest malicious, earliest windowed, newest. ``windowed`` is
     true for an unrecorded requested or malicious version.
     """
-    newest = versions.join(keys_of(versions, "semver", V.lenient_key).withColumnRenamed("key", "lenient"), "semver").groupBy(
-        "package_id"
-    ).agg(F.max_by("semver", F.struct(F.coalesce("lenient", V.lenient_key(F.lit("0.0.0"))), -F.col("id"))).alias("newest_semver"))
+    lenient = keys_of(versions, "semver", V.lenient_key).select(
+        "semver", F.coalesce("key", V.lenient_key(F.lit("0.0.0"))).alias("lenient")
+    )
+    newest = versions.join(lenient, "semver").groupBy("package_id").agg(
+        F.max_by("semver", F.struct("lenient", -F.col("id"))).alias("newest_semver")
+    )
     out = (
         packages.select(F.col("id").alias("package_id"))
         .join(highest_malicious(named), "package_id", "left")
