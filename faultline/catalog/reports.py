@@ -74,7 +74,7 @@ def severity(g: Graph) -> DataFrame:
 
 
 EVENTS = f"""
-ev AS (SELECT s.package_id AS root, s.safe_published_at AS at, 'release' AS kind, 'info' AS severity, concat(p.name,'@',s.safe_version,': last release outside the window') AS event
+ev AS (SELECT s.package_id AS root, s.safe_published_at AS "at", 'release' AS kind, 'info' AS severity, concat(p.name,'@',s.safe_version,': last release outside the window') AS event
     FROM safe s JOIN roots r ON r.root=s.package_id JOIN pkg p ON p.id=s.package_id WHERE s.safe_published_at IS NOT NULL
   UNION ALL SELECT root, min(published_at)-INTERVAL 1 MINUTE, 'credential','warning','compromise window opens: publish credentials used' FROM
     (SELECT package_id AS root, published_at FROM ver WHERE compromised_window UNION ALL SELECT root, published_at FROM sis WHERE in_window) GROUP BY 1
@@ -97,8 +97,8 @@ def timeline_of(g: Graph) -> DataFrame:
 
 
 @query("timeline", sql("""
-SELECT root, row_number() OVER (PARTITION BY root ORDER BY kind='detection', at, CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END, kind, event) AS rank,
-strftime(at,'%Y-%m-%dT%H:%M:%SZ') AS at, kind, severity, event FROM ev""", SAFE, STATE, SIGNALS, EVENTS))
+SELECT root, row_number() OVER (PARTITION BY root ORDER BY kind='detection', ev."at", CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END, kind, event) AS rank,
+strftime(ev."at",'%Y-%m-%dT%H:%M:%SZ') AS "at", kind, severity, event FROM ev""", SAFE, STATE, SIGNALS, EVENTS))
 def timeline(g: Graph) -> DataFrame:
     return timeline_of(g).select(
         "root", "rank", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), "kind", "severity", "event"
@@ -187,26 +187,16 @@ FROM (SELECT d.src AS service_id, d.dst, d.constraint_, true AS declared, min(d.
 JOIN pkg p ON p.id=k.dst LEFT JOIN (SELECT DISTINCT service_id, root, safe_version FROM plan) c ON c.service_id=k.service_id AND c.root=k.dst
 WHERE c.safe_version IS NOT NULL OR k.dst=k.lowest""", SAFE, PINNED, PLAN))
 def override_merge(g: Graph) -> DataFrame:
-    """Manifests (JSON text per service) with the planned pins merged in."""
+    """Declared and overridden packages of each service with the planned pins merged in.
+
+    Every service starts with one override, for its lowest dependency.
+    """
     names = g.package.select(F.col("id").alias("dst"), F.col("name").alias("package"))
-    deps = g.depends_on.where(g.ids.is_label(F.col("src"), X.SERVICE)).join(names, "dst")
-    manifests = deps.groupBy(F.col("src").alias("service_id")).agg(
-        F.to_json(F.struct(
-            F.map_from_entries(F.collect_list(F.struct("package", "constraint_"))).alias("dependencies"),
-            F.create_map(F.min_by("package", "dst"), F.lit("0.0.0")).alias("overrides"),
-        )).alias("text")
-    )
-    wanted = planned(g).select("service_id", F.col("root").alias("dst"), "safe_version").distinct().join(names, "dst").groupBy(
-        "service_id"
-    ).agg(F.map_from_entries(F.collect_list(F.struct("package", "safe_version"))).alias("pins"))
-    parsed = manifests.join(wanted, "service_id", "left").select(
-        "service_id",
-        F.from_json("text", M.MANIFEST).alias("m"),
-        F.coalesce("pins", F.create_map().cast("map<string,string>")).alias("pins"),
+    declared = g.depends_on.where(g.ids.is_label(F.col("src"), X.SERVICE)).join(names, "dst").select(
+        F.col("src").alias("service_id"), "dst", "package", F.col("constraint_").alias("spec")
     )
-    m, p = F.col("m"), F.col("pins")
-    return parsed.select(
-        "service_id", "m", M.pin_direct(m, "dependencies", p).alias("direct"), F.explode(M.merge_overrides(m, p)).alias("package", "override")
-    ).select(
-        "service_id", "package", "override", F.try_element_at("direct", "package").alias("direct_spec"), M.declares(m, F.col("package")).alias("declared")
+    current = declared.groupBy("service_id").agg(F.min_by("package", "dst").alias("package")).withColumn("override", F.lit("0.0.0"))
+    pins = planned(g).select("service_id", F.col("root").alias("dst"), "safe_version").distinct().join(names, "dst").join(
+        current.select("service_id"), "service_id", "left_semi"
     )
+    return M.merge_override_rows(declared, current, pins.select("service_id", "package", "safe_version"))

@@ -9,8 +9,6 @@ from faultline.operators.skew import SplitEdges
 from faultline.schema import DEFAULT_DEPTH
 from faultline.session import Scratch
 
-SCHEMA = "root bigint, node bigint, depth int"
-
 
 def reach(
     edges: SplitEdges,
@@ -39,7 +37,7 @@ def reach(
         found = (
             edges.follow(level.select("root", "node"), "node")
             .select("root", F.col(target).alias("node"))
-            .where("node <> root")
+            .where(F.col("node") != F.col("root"))
             .distinct()
         )
         if hop == 1 and first_hop_blocked is not None:
@@ -53,9 +51,7 @@ def reach(
         if rows == 0:
             break
         levels.append(level)
-    if not levels:
-        return roots.sparkSession.createDataFrame([], SCHEMA)
-    return scratch.read_all(levels)
+    return scratch.read_all(levels) if levels else level
 
 
 def depth_sweep(closure: DataFrame, members: DataFrame, depths: tuple[int, ...]) -> DataFrame:

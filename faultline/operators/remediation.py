@@ -98,6 +98,23 @@ def unpatched(exposed: DataFrame, planned: DataFrame) -> DataFrame:
     )
 
 
+def merge_override_rows(declared: DataFrame, current: DataFrame, pins: DataFrame) -> DataFrame:
+    """Override rows of every manifest after pinning; other overrides are kept.
+
+    ``declared`` has (service_id, package, spec), ``current`` (service_id, package,
+    override), ``pins`` (service_id, package, safe_version). A directly declared
+    package asks for the pinned version too.
+    """
+    key = ["service_id", "package"]
+    merged = current.join(pins, key, "full_outer").select(*key, F.coalesce("safe_version", "override").alias("override"), "safe_version")
+    return merged.join(declared.select(*key, "spec"), key, "left").select(
+        *key,
+        "override",
+        F.when(F.col("spec").isNotNull(), F.coalesce("safe_version", "spec")).alias("direct_spec"),
+        F.col("spec").isNotNull().alias("declared"),
+    )
+
+
 SECTIONS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
 MANIFEST = "struct<name:string,overrides:map<string,string>," + ",".join(f"{s}:map<string,string>" for s in SECTIONS) + ">"
 
