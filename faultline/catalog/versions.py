@@ -21,8 +21,8 @@ def semver_keys(g: Graph) -> DataFrame:
     keyed = N.keys_of(g.version, "semver").withColumn("lenient", V.lenient_key(F.col("semver")))
     ranked = rank_within(keyed.withColumn("all", F.lit(1)), ["all"], [F.asc("key")], g.scratch, "position")
     return ranked.select(
-        "semver", "key.major", "key.minor", "key.patch", (F.col("key.release") == 1).alias("released"),
-        (F.col("lenient.major.text").cast("bigint") == F.col("key.major")).alias("agrees"), "position",
+        "semver", *[V.component(F.col("semver"), i).alias(n) for i, n in ((1, "major"), (2, "minor"), (3, "patch"))],
+        V.is_release(F.col("key")).alias("released"), (F.col("lenient") == F.col("key")).alias("agrees"), "position",
     )
 
 

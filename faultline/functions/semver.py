@@ -1,12 +1,15 @@
 """Semantic versions and npm ranges as Column expressions.
 
-A version becomes an orderable struct, a range becomes an array of comparator
-sets, and ``satisfies`` compares the two. Callers evaluate the parsers once per
+A version becomes a text key that sorts in version order, a range becomes key
+intervals, and ``satisfies`` compares the two. Callers evaluate the parsers once per
 *distinct* string and join the result back.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,57 +33,67 @@ TOKEN = (
 OPERATOR_GAP = r"([<>]=?|=|~>?|\^)\s+"
 EDGE_SPACE = r"^\s+|\s+$"
 
-_KEY = "major,minor,patch,release,pre".split(",")
+# Marks inside a key: a prerelease sorts below its release, the end of an
+# identifier below any character of one, and AFTER right behind a whole key.
+IS_RELEASE, IS_PRERELEASE, END, AFTER = "~", "-", " ", "!"
+
 
+def _number(digits: Column) -> Column:
+    """Digits without leading zeros, in a form whose text order is numeric order."""
+    return F.concat(F.lpad(F.length(digits).cast("string"), 3, "0"), digits)
 
-def _identifiers(pre: Column, strip_zeros: bool = False) -> Column:
-    """Prerelease text to comparable identifiers: numbers first, by magnitude."""
 
+def _identifiers(pre: Column, strip_zeros: bool) -> Column:
     def one(part: Column) -> Column:
         digits = F.regexp_replace(part, "^0+(?=[0-9])", "") if strip_zeros else part
-        numeric = part.rlike("^[0-9]+$")
-        return F.struct(
-            F.when(numeric, 0).otherwise(1).alias("kind"),
-            F.when(numeric, F.length(digits)).otherwise(0).alias("len"),
-            F.when(numeric, digits).otherwise(part).alias("text"),
+        return F.when(part.rlike("^[0-9]+$"), F.concat(F.lit("1"), _number(digits), F.lit(END))).otherwise(
+            F.concat(F.lit("2"), part, F.lit(END))
         )
 
-    return F.when(pre == "", F.array().cast("array<struct<kind:int,len:int,text:string>>")).otherwise(
-        F.transform(F.split(pre, r"\."), one)
-    )
+    return F.array_join(F.transform(F.split(pre, r"\."), one), "")
 
 
-def _key(major: Column, minor: Column, patch: Column, pre: Column, strip_zeros: bool = False) -> Column:
-    return F.struct(
-        major.alias("major"),
-        minor.alias("minor"),
-        patch.alias("patch"),
-        F.when(pre == "", 1).otherwise(0).alias("release"),
-        _identifiers(pre, strip_zeros).alias("pre"),
+def _key(numbers: list[Column], pre: Column, strip_zeros: bool = False) -> Column:
+    """Version order as text order: numbers, then release or prerelease identifiers."""
+    return F.concat(
+        *[_number(n) for n in numbers],
+        F.when(pre == "", F.lit(IS_RELEASE)).otherwise(
+            F.concat(F.lit(IS_PRERELEASE), _identifiers(pre, strip_zeros))
+        ),
     )
 
 
+def is_release(key: Column) -> Column:
+    return key.endswith(IS_RELEASE)
+
+
+def same_core(key: Column) -> Column:
+    """The part of a prerelease key it shares with its release."""
+    return F.substring_index(key, IS_PRERELEASE, 1)
+
+
+def component(version: Column, which: int) -> Column:
+    """Major (1), minor (2) or patch (3) of a version text."""
+    return F.regexp_extract(version, LENIENT, which).try_cast("bigint")
+
+
 def strict_key(version: Column) -> Column:
-    """Orderable key of an npm version; null when it is not one."""
+    """Sortable key of an npm version; null when it is not one."""
     text = F.regexp_replace(version, EDGE_SPACE, "")
-    numbers = [F.regexp_extract(text, STRICT, i).try_cast("bigint") for i in (1, 2, 3)]
+    numbers = [F.regexp_extract(text, STRICT, i) for i in (1, 2, 3)]
     usable = (F.length(version) <= MAX_LENGTH) & text.rlike(STRICT)
     for number in numbers:
-        usable = usable & F.coalesce(number <= MAX_COMPONENT, F.lit(False))
-    return F.when(usable, _key(*numbers, F.regexp_extract(text, STRICT, 4)))
+        usable = usable & F.coalesce(number.try_cast("bigint") <= MAX_COMPONENT, F.lit(False))
+    return F.when(usable, _key(numbers, F.regexp_extract(text, STRICT, 4)))
 
 
 def lenient_key(version: Column) -> Column:
-    """Orderable key that also accepts ``=`` prefixes and leading zeros."""
-
-    def number(i: int) -> Column:
-        digits = F.regexp_replace(F.regexp_extract(version, LENIENT, i), "^0+(?=[0-9])", "")
-        return F.struct(F.length(digits).alias("len"), digits.alias("text"))
-
-    parts = [number(i) for i in (1, 2, 3)]
+    """Sortable key that also accepts ``=`` prefixes and leading zeros."""
+    numbers = [
+        F.regexp_replace(F.regexp_extract(version, LENIENT, i), "^0+(?=[0-9])", "") for i in (1, 2, 3)
+    ]
     return F.when(
-        version.rlike(LENIENT),
-        _key(*parts, F.regexp_extract(version, LENIENT, 4), strip_zeros=True),
+        version.rlike(LENIENT), _key(numbers, F.regexp_extract(version, LENIENT, 4), strip_zeros=True)
     )
 
 
@@ -215,17 +228,48 @@ def range_sets(constraint: Column) -> Column:
             tokens, lambda cmps: cmps.isNotNull() & F.forall(F.coalesce(cmps, F.array().cast(_NONE)), _representable)
         ),
     )
+    return F.when(valid, F.transform(bounds, lambda tokens: _interval(F.flatten(tokens))))
+
+
+def _interval(comparators: Column) -> Column:
+    """Half-open key interval of a comparator set, the prereleases it admits, its text.
+
+    The comparators of a set all have to hold, so the set is one interval.
+    """
     keyed = F.transform(
-        bounds,
-        lambda tokens: F.transform(
-            F.flatten(tokens),
-            lambda c: F.struct(
-                c["op"].alias("op"),
-                _key(c["major"], c["minor"], c["patch"], c["pre"]).alias("key"),
-            ),
+        comparators,
+        lambda c: F.struct(
+            c["op"].alias("op"),
+            _key([c[n].cast("string") for n in ("major", "minor", "patch")], c["pre"]).alias("key"),
+        ),
+    )
+
+    def past(c: Column) -> Column:
+        return F.concat(c["key"], F.lit(AFTER))
+
+    lows = F.transform(
+        F.filter(keyed, lambda c: c["op"].isin(">", ">=", "")),
+        lambda c: F.when(c["op"] == ">", past(c)).otherwise(c["key"]),
+    )
+    highs = F.transform(
+        F.filter(keyed, lambda c: c["op"].isin("<", "<=", "")),
+        lambda c: F.when(c["op"] == "<", c["key"]).otherwise(past(c)),
+    )
+    prereleases = F.filter(keyed, lambda c: ~is_release(c["key"]))
+    written = F.transform(
+        comparators,
+        lambda c: F.concat(
+            F.when(c["op"] == "", "=").otherwise(c["op"]),
+            F.concat_ws(".", *[c[n].cast("string") for n in ("major", "minor", "patch")]),
+            F.when(c["pre"] == "", "").otherwise(F.concat(F.lit("-"), c["pre"])),
         ),
     )
-    return F.when(valid, keyed)
+    return F.struct(
+        F.coalesce(F.array_max(lows), F.lit("")).alias("low"),
+        F.coalesce(F.array_min(highs), F.lit(IS_RELEASE)).alias("high"),
+        F.transform(prereleases, lambda c: same_core(c["key"])).alias("admits"),
+        F.array_join(written, " ").alias("text"),
+    )
 
 
 def range_is_evidence(constraint: Column, sets: Column) -> Column:
@@ -234,45 +278,30 @@ def range_is_evidence(constraint: Column, sets: Column) -> Column:
     return sets.isNotNull() & ~blank
 
 
-def satisfies(key: Column, sets: Column) -> Column:
-    """Whether a version key lies in a parsed range; false when either is null."""
-
-    def holds(c: Column) -> Column:
-        return (
-            F.when(c["op"] == "<", key < c["key"])
-            .when(c["op"] == "<=", key <= c["key"])
-            .when(c["op"] == ">", key > c["key"])
-            .when(c["op"] == ">=", key >= c["key"])
-            .otherwise(key == c["key"])
-        )
+def inside(key: Column, interval: Column) -> Column:
+    """Whether a version key lies in one comparator set."""
+    return (
+        (key >= interval["low"])
+        & (key < interval["high"])
+        & (is_release(key) | F.array_contains(interval["admits"], same_core(key)))
+    )
 
-    def names_same_release(c: Column) -> Column:
-        other = c["key"]
-        return (
-            (other["release"] == 0)
-            & (other["major"] == key["major"])
-            & (other["minor"] == key["minor"])
-            & (other["patch"] == key["patch"])
-        )
 
-    inside = F.exists(
-        sets,
-        lambda s: F.forall(s, holds) & ((key["release"] == 1) | F.exists(s, names_same_release)),
-    )
-    return F.coalesce(inside & key.isNotNull(), F.lit(False))
+def satisfies(key: Column, sets: Column) -> Column:
+    """Whether a version key lies in a parsed range; false when either is null."""
+    return F.coalesce(F.exists(sets, lambda s: inside(key, s)), F.lit(False))
 
 
 def sets_text(sets: Column) -> Column:
     """Readable canonical form, e.g. ``>=1.2.0 <2.0.0-0 || =3.0.0``."""
+    return F.array_join(F.transform(sets, lambda s: s["text"]), " || ")
+
+
+@lru_cache(maxsize=256)
+def _named(parser, column: str, gateway) -> Column:
+    return parser(F.col(column))
 
-    def one(c: Column) -> Column:
-        k = c["key"]
-        core = F.concat_ws(".", k["major"].cast("string"), k["minor"].cast("string"), k["patch"].cast("string"))
-        pre = F.array_join(F.transform(k["pre"], lambda i: i["text"]), ".")
-        return F.concat(
-            F.when(c["op"] == "", "=").otherwise(c["op"]),
-            core,
-            F.when(pre == "", "").otherwise(F.concat(F.lit("-"), pre)),
-        )
 
-    return F.array_join(F.transform(sets, lambda s: F.array_join(F.transform(s, one), " ")), " || ")
+def of_column(parser, column: str) -> Column:
+    """``parser(F.col(column))``, composed once: these expressions are large."""
+    return _named(parser, column, SparkContext._gateway)

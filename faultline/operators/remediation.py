@@ -32,10 +32,10 @@ def override_field(filename: Column) -> Column:
 
 def manifest_range(constraint: Column) -> Column:
     """``=x.y.z`` becomes the range a manifest would hold, ``^x.y.0``."""
-    key = V.lenient_key(F.substr(constraint, F.lit(2)))
+    pinned = F.substr(constraint, F.lit(2))
     return F.when(
-        constraint.startswith("=") & key.isNotNull(),
-        F.concat(F.lit("^"), key["major"]["text"], F.lit("."), key["minor"]["text"], F.lit(".0")),
+        constraint.startswith("=") & pinned.rlike(V.LENIENT),
+        F.concat(F.lit("^"), V.component(pinned, 1).cast("string"), F.lit("."), V.component(pinned, 2).cast("string"), F.lit(".0")),
     ).otherwise(constraint)
 
 

@@ -12,12 +12,12 @@ from faultline.session import Scratch
 
 def keys_of(strings: DataFrame, column: str, parser=V.strict_key) -> DataFrame:
     """Version keys of the distinct strings in a column."""
-    return strings.select(column).distinct().withColumn("key", parser(F.col(column)))
+    return strings.select(column).distinct().withColumn("key", V.of_column(parser, column))
 
 
 def ranges_of(constraints: DataFrame, column: str = "constraint_") -> DataFrame:
     """Parsed comparator sets of the distinct constraints in a column."""
-    return constraints.select(column).distinct().withColumn("sets", V.range_sets(F.col(column)))
+    return constraints.select(column).distinct().withColumn("sets", V.of_column(V.range_sets, column))
 
 
 def history(versions: DataFrame, scratch: Scratch) -> DataFrame:
@@ -59,7 +59,7 @@ def highest_malicious(named: DataFrame) -> DataFrame:
     """
     named = named.where("exact_version IS NOT NULL").select("package_id", "exact_version").distinct()
     keyed = named.join(keys_of(named, "exact_version"), "exact_version").withColumn(
-        "released", F.coalesce(F.col("key.release") == 1, F.lit(False))
+        "released", F.coalesce(V.is_release(F.col("key")), F.lit(False))
     )
     # ties keep the first spelling in text order
     return keyed.groupBy("package_id").agg(
@@ -154,11 +154,11 @@ def max_satisfying(wanted: DataFrame, versions: DataFrame) -> DataFrame:
     Equal versions keep the lowest id; no match gives null.
     """
     asked = wanted.select("package_id", "constraint_").distinct()
-    parsed = asked.join(ranges_of(asked), "constraint_", "left").where("sets IS NOT NULL")
+    intervals = asked.join(ranges_of(asked), "constraint_").select("package_id", "constraint_", F.explode("sets").alias("range"))
     keyed = versions.select("package_id", "semver", "id").join(keys_of(versions, "semver"), "semver")
     best = (
-        parsed.join(keyed, "package_id")
-        .where(V.satisfies(F.col("key"), F.col("sets")))
+        intervals.join(keyed, "package_id")
+        .where(V.inside(F.col("key"), F.col("range")))
         .groupBy("package_id", "constraint_")
         .agg(F.max_by("semver", F.struct("key", -F.col("id"))).alias("semver"))
     )
