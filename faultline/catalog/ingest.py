@@ -73,7 +73,7 @@ def _blank_root(text: str) -> str:
 def npm(g: Graph) -> L.Parsed:
     def build() -> L.Parsed:
         found = L.parse_npm(C.npm_documents(g), g.scratch)
-        return L.Parsed(g.scratch.keep(found.releases, "npm-releases"), g.scratch.keep(found.edges, "npm-edges"))
+        return L.Parsed(g.scratch.keep(found.releases, "npm-releases"), found.edges)
 
     return g.once("npm", build)
 

@@ -10,14 +10,25 @@ from faultline.operators.ordering import rank_within
 from faultline.session import Scratch
 
 
+def _parsed_once(strings: DataFrame, column: str, parser, name: str) -> DataFrame:
+    """Parse the distinct strings of a column.
+
+    The text handed to the parser depends on the group's count, so a later filter on
+    the result is not moved below the grouping, where it would parse every row.
+    """
+    counted = strings.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    text = counted.select(column, F.when(F.col("_n") > 0, F.col(column)).alias("_text"))
+    return text.select(column, V.of_column(parser, "_text").alias(name))
+
+
 def keys_of(strings: DataFrame, column: str, parser=V.strict_key) -> DataFrame:
     """Version keys of the distinct strings in a column."""
-    return strings.select(column).distinct().withColumn("key", V.of_column(parser, column))
+    return _parsed_once(strings, column, parser, "key")
 
 
 def ranges_of(constraints: DataFrame, column: str = "constraint_") -> DataFrame:
     """Parsed comparator sets of the distinct constraints in a column."""
-    return constraints.select(column).distinct().withColumn("sets", V.of_column(V.range_sets, column))
+    return _parsed_once(constraints, column, V.range_sets, "sets")
 
 
 def history(versions: DataFrame, scratch: Scratch) -> DataFrame:
