@@ -1,4 +1,4 @@
-"""Run registered queries against their SQL in DuckDB: python check.py [sf] [name ...]."""
+"""Run registered queries against their SQL in DuckDB: python check.py [sf or folder] [name ...]."""
 
 from __future__ import annotations
 
@@ -56,8 +56,8 @@ def compare(spark, db, name: str, sf_dir: str) -> str | None:
 
 def main() -> int:
     args = sys.argv[1:]
-    sf = args.pop(0) if args and args[0].startswith("sf") else "sf0.01"
-    sf_dir = f"/root/testdata/{sf}"
+    where = args.pop(0) if args and args[0].startswith(("sf", "/")) else "sf0.01"
+    sf_dir = where if where.startswith("/") else f"/root/testdata/{where}"
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     db = connect(sf_dir)
