@@ -36,7 +36,7 @@ risk AS MATERIALIZED (SELECT *, round(least(1.0::DOUBLE,0.4::DOUBLE*reach+0.25::
 def incident_sisters(g: Graph) -> DataFrame:
     def build() -> DataFrame:
         primary = H.primary_maintainer(g.maintained_by).withColumnRenamed("package_id", "root").join(g.roots, "root", "left_semi")
-        return H.sisters(owned(g), g.package, g.version, primary)
+        return H.sister_summary(owned(g), g.package, g.version, primary)
 
     return g.kept("incident_sisters", build)
 
@@ -45,6 +45,13 @@ def look_alikes(g: Graph) -> DataFrame:
     return g.kept("look_alikes", lambda: H.look_alike_report(g.typosquat_of, g.package))
 
 
+@query("incident_sisters", sql("""
+SELECT p.root, p.maintainer_id, count(s.package_id) AS sisters, count(s.package_id) FILTER (s.flagged) AS flagged, count(s.package_id) FILTER (s.in_window) AS in_window,
+coalesce(arg_min(concat(s.name,'@',s.window_release),(s.published_at,s.package_id)) FILTER (s.in_window),'') AS first_release FROM prim p LEFT JOIN sis s ON s.root=p.root GROUP BY 1,2""", STATE, SIGNALS))
+def incident_sisters_(g: Graph) -> DataFrame:
+    return incident_sisters(g).drop("first_at")
+
+
 def safe_for_roots(g: Graph) -> DataFrame:
     return safe(g).withColumnRenamed("package_id", "root").join(g.roots, "root", "left_semi")
 
@@ -82,7 +89,7 @@ ev AS (SELECT s.package_id AS root, s.safe_published_at AS "at", 'release' AS ki
     FROM bad b JOIN roots r ON r.root=b.package_id JOIN pkg p ON p.id=b.package_id WHERE b.published_at IS NOT NULL
   UNION ALL SELECT v.package_id, v.published_at, 'publish','high', concat(p.name,'@',v.semver,': also published inside the window')
     FROM ver v JOIN inc i ON i.root=v.package_id JOIN pkg p ON p.id=v.package_id WHERE v.compromised_window AND v.semver<>i.bad_version
-  UNION ALL SELECT root, published_at, 'sister','high', concat('sister release ',name,'@',window_release) FROM sis WHERE in_window
+  UNION ALL SELECT root, min(published_at), 'sister','high', concat(count(*),' sister releases inside the window, first ',arg_min(concat(name,'@',window_release),(published_at,package_id))) FROM sis WHERE in_window GROUP BY 1
   UNION ALL SELECT x.root, l.last, 'typosquat','warning', concat('look-alike ',p.name,', edit distance ',x.d) FROM
     (SELECT dst AS root, src AS c, edit_distance AS d FROM squat UNION ALL SELECT src, dst, edit_distance FROM squat) x
     JOIN roots r ON r.root=x.root JOIN pkg p ON p.id=x.c JOIN (SELECT package_id, max(published_at) AS last FROM ver GROUP BY 1) l ON l.package_id=x.c
@@ -92,7 +99,7 @@ ev AS (SELECT s.package_id AS root, s.safe_published_at AS "at", 'release' AS ki
 
 def timeline_of(g: Graph) -> DataFrame:
     return g.once("timeline", lambda: I.timeline(
-        g.roots, g.package, g.version, incidents(g), safe_for_roots(g), incident_sisters(g), look_alikes(g),
+        g.roots, g.package, g.version, incidents(g), safe_for_roots(g), I.sister_event_first(incident_sisters(g)), look_alikes(g),
         refined_radius(g), F.lit(DETECTED).cast("timestamp_ntz"), g.scratch))
 
 

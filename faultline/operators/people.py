@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.ordering import rank_within
@@ -43,38 +43,93 @@ def network(owned: DataFrame, packages: DataFrame, versions: DataFrame) -> DataF
     )
 
 
+def _sole_compromised(state: DataFrame) -> DataFrame:
+    """(maintainer_id, _sole) of maintainers with exactly one compromised package."""
+    return state.where("is_compromised").groupBy("maintainer_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("package_id").alias("_sole")
+    ).where("_n = 1").select("maintainer_id", "_sole")
+
+
+def _centres(state: DataFrame, epicentre: DataFrame) -> DataFrame:
+    """(root, maintainer_id, centre): the package left out of each report.
+
+    A named package the maintainer does not own falls back to the maintainer's only
+    compromised package.
+    """
+    owns = state.select("maintainer_id", F.col("package_id").alias("root"), F.lit(True).alias("_owns"))
+    return (
+        epicentre.select("root", "maintainer_id")
+        .join(owns, ["maintainer_id", "root"], "left")
+        .join(_sole_compromised(state), "maintainer_id", "left")
+        .select("root", "maintainer_id", F.when(F.col("_owns"), F.col("root")).otherwise(F.col("_sole")).alias("centre"))
+    )
+
+
 def sisters(owned: DataFrame, packages: DataFrame, versions: DataFrame, epicentre: DataFrame | None = None) -> DataFrame:
     """Packages sharing a maintainer, without the epicentre.
 
-    ``epicentre`` (root, maintainer_id) names the breached package per report; a
-    named package the maintainer does not own, and a report without a name, fall
-    back to the maintainer's only compromised package. Without ``epicentre`` there
-    is one report per maintainer.
+    Without ``epicentre`` there is one report per maintainer. With it, (root,
+    maintainer_id) rows name the breached package of each report; that form lists
+    every sister of every root and is meant for the incidents at hand. For all roots
+    at once use :func:`sister_summary`.
     """
     state = _with_state(owned, packages, versions)
-    sole = state.where("is_compromised").groupBy("maintainer_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("package_id").alias("_sole")
-    ).where("_n = 1").select("maintainer_id", "_sole")
     if epicentre is None:
-        out = state.join(sole, "maintainer_id", "left").where(
+        out = state.join(_sole_compromised(state), "maintainer_id", "left").where(
             F.col("_sole").isNull() | (F.col("package_id") != F.col("_sole"))
         )
         group = ["maintainer_id"]
     else:
-        holds = epicentre.join(
-            state.select("maintainer_id", F.col("package_id").alias("root"), F.lit(True).alias("_owns")),
-            ["maintainer_id", "root"],
-            "left",
-        ).join(sole, "maintainer_id", "left")
-        centre: Column = F.when(F.col("_owns"), F.col("root")).otherwise(F.col("_sole"))
-        named = holds.select("root", "maintainer_id", centre.alias("_centre"))
-        out = named.join(state, "maintainer_id").where(
-            F.col("_centre").isNull() | (F.col("package_id") != F.col("_centre"))
+        out = _centres(state, epicentre).join(state, "maintainer_id").where(
+            F.col("centre").isNull() | (F.col("package_id") != F.col("centre"))
         )
         group = ["root", "maintainer_id"]
     return out.select(*group, "package_id", "name", "in_window", "flagged", "window_release", "published_at")
 
 
+def sister_summary(owned: DataFrame, packages: DataFrame, versions: DataFrame, epicentre: DataFrame) -> DataFrame:
+    """Sister counts and the first sister release in the window, per root.
+
+    Counts are taken once per maintainer and the epicentre's own share subtracted, and
+    the two earliest releases suffice to find the first that is not the epicentre's,
+    so a maintainer of very many packages never yields root x sister pairs.
+    """
+    state = _with_state(owned, packages, versions)
+    counts = state.groupBy("maintainer_id").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if("flagged").alias("_flagged"), F.count_if("in_window").alias("_window")
+    )
+    early = Window.partitionBy("maintainer_id").orderBy("published_at", "package_id")
+    first_two = (
+        state.where("in_window")
+        .withColumn("_n", F.row_number().over(early))
+        .where("_n <= 2")
+        .groupBy("maintainer_id")
+        .agg(F.array_sort(F.collect_list(F.struct("published_at", "package_id", "name", "window_release"))).alias("_first"))
+    )
+    own = state.select("maintainer_id", F.col("package_id").alias("centre"), F.col("flagged").alias("_own_flag"), F.col("in_window").alias("_own_window"), F.lit(1).alias("_own"))
+    first = F.try_element_at(
+        F.filter("_first", lambda r: F.col("centre").isNull() | (r["package_id"] != F.col("centre"))), F.lit(1)
+    )
+
+    def less(total: str, mine: str) -> Column:
+        return F.col(total) - F.coalesce(F.col(mine).cast("int"), F.lit(0))
+
+    return (
+        _centres(state, epicentre)
+        .join(counts, "maintainer_id")
+        .join(first_two, "maintainer_id", "left")
+        .join(own, ["maintainer_id", "centre"], "left")
+        .select(
+            "root", "maintainer_id",
+            less("_all", "_own").alias("sisters"),
+            less("_flagged", "_own_flag").alias("flagged"),
+            less("_window", "_own_window").alias("in_window"),
+            first["published_at"].alias("first_at"),
+            F.concat_ws("@", first["name"], first["window_release"]).alias("first_release"),
+        )
+    )
+
+
 def rank_sisters(found: DataFrame, group: list[str], scratch: Scratch) -> DataFrame:
     """Flagged packages first, then by name."""
     return rank_within(found, group, [F.desc("flagged"), F.asc("name"), F.asc("package_id")], scratch)

@@ -3,7 +3,8 @@
 The cap is part of the feature. Shorter routes sort first, so once a root has
 ``cap`` routes no longer one can enter its answer and the root leaves the
 frontier; a root still short of the cap carries fewer than ``cap`` routes into
-the next hop. The result is therefore exact while every step stays bounded.
+the next hop. The result is therefore exact while every step stays bounded. Edges
+have to be distinct, which makes the chains distinct.
 """
 
 from __future__ import annotations
@@ -30,11 +31,10 @@ def routes(
             edges.follow(level, "node")
             .where(~F.array_contains("chain", F.col("src")))
             .select("root", F.col("src").alias("node"), F.concat("chain", F.array("src")).alias("chain"), "had")
-            .distinct()
         )
         # a rank below a constant lets Spark drop surplus rows before the shuffle
         in_order = Window.partitionBy("root").orderBy("chain")
-        step = step.withColumn("_n", F.row_number().over(in_order).cast("bigint"))
+        step = step.withColumn("_n", F.row_number().over(in_order))
         if cap is not None:
             step = step.where(F.col("_n") <= cap)
         step = step.withColumn("rank", F.col("had") + F.col("_n"))

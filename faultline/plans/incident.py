@@ -14,11 +14,11 @@ def risk_profile(roots: DataFrame, exposed: DataFrame, incidents: DataFrame, sis
     """Composite score per root with its components.
 
     ``exposed`` (root, node) is the refined closure, ``incidents`` has (root,
-    windowed), ``sisters`` (root, flagged), ``look_alikes`` (package_id,
-    similarity_score).
+    windowed), ``sisters`` (root, flagged, sisters) counts, ``look_alikes``
+    (package_id, similarity_score).
     """
     dependents = exposed.groupBy("root").agg(F.count("node").alias("dependents"))
-    family = sisters.groupBy("root").agg(F.count_if("flagged").alias("flagged"), F.count(F.lit(1)).alias("sisters"))
+    family = sisters.select("root", "flagged", "sisters")
     copies = look_alikes.groupBy(F.col("package_id").alias("root")).agg(
         F.max("similarity_score").alias("similarity"), F.count(F.lit(1)).alias("look_alikes")
     )
@@ -43,24 +43,42 @@ def risk_profile(roots: DataFrame, exposed: DataFrame, incidents: DataFrame, sis
     )
 
 
+def sister_event_each(sisters: DataFrame) -> DataFrame:
+    """One timeline row per sister release, for a chosen incident."""
+    return sisters.where("in_window").select(
+        "root", F.col("published_at").alias("at"),
+        F.concat(F.lit("sister release "), F.col("name"), F.lit("@"), F.col("window_release")).alias("event"),
+    )
+
+
+def sister_event_first(summary: DataFrame) -> DataFrame:
+    """One timeline row per root for all its sister releases, for all roots at once."""
+    return summary.where("in_window > 0").select(
+        "root", F.col("first_at").alias("at"),
+        F.concat(F.col("in_window").cast("string"), F.lit(" sister releases inside the window, first "), F.col("first_release")).alias("event"),
+    )
+
+
 def timeline(
     roots: DataFrame,
     packages: DataFrame,
     versions: DataFrame,
     incidents: DataFrame,
     safe: DataFrame,
-    sisters: DataFrame,
+    sister_events: DataFrame,
     look_alikes: DataFrame,
     radius: DataFrame,
     detected_at: Column,
     scratch: Scratch,
 ) -> DataFrame:
-    """Ordered incident events (root, rank, at, kind, severity, event) for every root."""
+    """Ordered incident events (root, rank, at, kind, severity, event) for every root.
+
+    ``sister_events`` (root, at, event) comes from one of the two functions above.
+    """
     name = packages.select(F.col("id").alias("root"), F.col("name").alias("package"))
     releases = versions.where("compromised_window").select(F.col("package_id").alias("root"), "semver", "published_at").join(
         incidents.select("root", "bad_version"), "root"
     )
-    in_window = sisters.where("in_window")
     spec = F.concat_ws("@", "package", "semver")
 
     def events(df: DataFrame, at: Column, kind: str, severity: str, text: Column) -> DataFrame:
@@ -74,7 +92,7 @@ def timeline(
     )
     opened = (
         releases.select("root", "published_at")
-        .unionByName(in_window.select("root", "published_at"))
+        .unionByName(sister_events.select("root", F.col("at").alias("published_at")))
         .groupBy("root")
         .agg(F.min("published_at").alias("first"))
     )
@@ -90,10 +108,7 @@ def timeline(
         releases.where("semver <> bad_version").join(name, "root"), F.col("published_at"), "publish", "high",
         F.concat(spec, F.lit(": also published inside the window")),
     )
-    sister = events(
-        in_window, F.col("published_at"), "sister", "high",
-        F.concat(F.lit("sister release "), F.col("name"), F.lit("@"), F.col("window_release")),
-    )
+    sister = events(sister_events, F.col("at"), "sister", "high", F.col("event"))
     look_alike = events(
         look_alikes.where("last_published_at IS NOT NULL").withColumnRenamed("package_id", "root").join(
             roots.select("root"), "root", "left_semi"

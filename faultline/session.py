@@ -39,6 +39,7 @@ class Scratch:
             f"/{label}-{uuid.uuid4().hex[:12]}"
         )
         self._step = 0
+        self._written: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str) -> str:
         self._step += 1
@@ -48,7 +49,9 @@ class Scratch:
         """Write ``df`` and read it back."""
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._written[id(kept)] = (kept, path)
+        return kept
 
     def keep_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
         """As :meth:`keep`, with the row count observed while writing."""
@@ -57,8 +60,8 @@ class Scratch:
         return kept, int(seen.get["n"])
 
     def read_all(self, parts: list[DataFrame]) -> DataFrame:
-        """One scan over several tables this scratch area wrote."""
-        paths = [f for part in parts for f in part.inputFiles()]
+        """One scan over several tables of equal schema that :meth:`keep` returned."""
+        paths = [self._written[id(part)][1] for part in parts]
         return self.spark.read.schema(parts[0].schema).parquet(*paths)
 
 
