@@ -7,13 +7,17 @@ and never the whole iteration, and the next step plans with real file sizes.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
+JOBS_AT_ONCE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +42,11 @@ class Scratch:
             f"{shared_dir(spark)}/faultline/{spark.sparkContext.applicationId}"
             f"/{label}-{uuid.uuid4().hex[:12]}"
         )
-        self._step = 0
+        self._steps = itertools.count(1)
         self._written: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str) -> str:
-        self._step += 1
-        return f"{self.base}/{self._step:03d}-{name}"
+        return f"{self.base}/{next(self._steps):03d}-{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back."""
@@ -65,6 +68,13 @@ class Scratch:
         return self.spark.read.schema(parts[0].schema).parquet(*paths)
 
 
+def together(calls: dict[Hashable, Callable[[], object]]) -> dict:
+    """Run independent steps as concurrent Spark jobs, so small ones do not queue up."""
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        running = {name: pool.submit(call) for name, call in calls.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "faultline"):
     """A single-machine session for tests and the benchmark."""
     return (

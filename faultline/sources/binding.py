@@ -19,7 +19,7 @@ from faultline.operators.closure import reach
 from faultline.operators.ordering import number_rows
 from faultline.operators.skew import SplitEdges, split_hot
 from faultline.operators.typosquat import typosquat_edges
-from faultline.session import Scratch
+from faultline.session import Scratch, together
 
 WINDOW_OPENS, WINDOW_CLOSES = "1998-06-01 00:00:00", "1998-07-01 00:00:00"
 
@@ -196,29 +196,40 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
         .withColumn("is_compromised", F.coalesce("is_compromised", F.lit(False))),
         "package",
     )
-    service = scratch.keep(
-        customers.select(
-            (svc + F.col("c_custkey")).alias("id"),
-            F.col("c_name").alias("name"),
-            F.when(F.col("c_mktsegment") == "MACHINERY", "tier-1")
-            .when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "tier-2")
-            .otherwise("tier-3")
-            .alias("criticality"),
-        ),
-        "service",
-    )
-    lockfile = scratch.keep(
-        orders.where("o_orderpriority = '1-URGENT'").select(
-            (lck + F.col("o_orderkey")).alias("id"),
-            (svc + F.col("o_custkey")).alias("service_id"),
-            F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit("/package-lock.json")).alias("name"),
-            F.col("o_orderdate").alias("generated_at"),
-        ),
-        "lockfile",
-    )
-    maintainer = scratch.keep(
-        suppliers.select((mnt + F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name")), "maintainer"
+    plain = together(
+        {
+            "service": lambda: scratch.keep(
+                customers.select(
+                    (svc + F.col("c_custkey")).alias("id"),
+                    F.col("c_name").alias("name"),
+                    F.when(F.col("c_mktsegment") == "MACHINERY", "tier-1")
+                    .when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "tier-2")
+                    .otherwise("tier-3")
+                    .alias("criticality"),
+                ),
+                "service",
+            ),
+            "lockfile": lambda: scratch.keep(
+                orders.where("o_orderpriority = '1-URGENT'").select(
+                    (lck + F.col("o_orderkey")).alias("id"),
+                    (svc + F.col("o_custkey")).alias("service_id"),
+                    F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit("/package-lock.json")).alias("name"),
+                    F.col("o_orderdate").alias("generated_at"),
+                ),
+                "lockfile",
+            ),
+            "maintainer": lambda: scratch.keep(
+                suppliers.select((mnt + F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name")), "maintainer"
+            ),
+            "maintained_by": lambda: scratch.keep(
+                items.where("l_linenumber = 2")
+                .groupBy((pkg + F.col("l_partkey")).alias("src"), (mnt + F.col("l_suppkey")).alias("dst"))
+                .agg(F.min("l_shipdate").alias("since")),
+                "maintained_by",
+            ),
+        }
     )
+    service, lockfile, maintainer = plain["service"], plain["lockfile"], plain["maintainer"]
 
     first_part = items.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first_part"))
     between = (
@@ -234,7 +245,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
         items.select("l_orderkey", "l_partkey", "l_linenumber", _release_text().alias("semver")), "l_orderkey"
     ).select("id", "service_id", (pkg + F.col("l_partkey")).alias("package_id"), "l_linenumber", "semver")
     first_line = locked_items.where("l_linenumber = 1")
-    depends_on = scratch.keep(
+    dependencies = (
         between.withColumn(
             "constraint_",
             F.concat(
@@ -254,8 +265,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
             first_line.groupBy(F.col("id").alias("src"), F.col("package_id").alias("dst")).agg(
                 F.concat(F.lit("="), F.min("semver")).alias("constraint_")
             )
-        ),
-        "depends_on",
+        )
     )
     pins = (
         locked_items.join(version.select(F.col("id").alias("dst"), "package_id", "semver"), ["package_id", "semver"])
@@ -263,17 +273,18 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
         .distinct()
     )
     history = version.select(F.col("package_id").alias("src"), F.col("id").alias("dst"), F.col("semver").alias("resolved_version"))
-    resolved_in = scratch.keep(pins.unionByName(history), "resolved_in")
-    maintained_by = scratch.keep(
-        items.where("l_linenumber = 2")
-        .groupBy((pkg + F.col("l_partkey")).alias("src"), (mnt + F.col("l_suppkey")).alias("dst"))
-        .agg(F.min("l_shipdate").alias("since")),
-        "maintained_by",
+    edges = together(
+        {
+            "typosquat_of": lambda: scratch.keep(
+                typosquat_edges(package.select("id", "name", "downloads_weekly")), "typosquat_of"
+            ),
+            "depends_on": lambda: scratch.keep(dependencies, "depends_on"),
+            "resolved_in": lambda: scratch.keep(pins.unionByName(history), "resolved_in"),
+        }
     )
-    typosquat_of = scratch.keep(typosquat_edges(package.select("id", "name", "downloads_weekly")), "typosquat_of")
     return Graph(
         spark, sf_dir, scratch, ids, package, version, maintainer, service, lockfile,
-        depends_on, resolved_in, maintained_by, typosquat_of, advisory,
+        edges["depends_on"], edges["resolved_in"], plain["maintained_by"], edges["typosquat_of"], advisory,
     )
 
 
