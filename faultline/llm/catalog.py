@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from faultline.llm import url_filter
+from faultline.llm import license_scan, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_license_scan": license_scan.query,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
+    "op2_license_scan": license_scan.ORACLE,
 }
