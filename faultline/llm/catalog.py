@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from faultline.llm import license_scan, url_filter
+from faultline.llm import bpe, license_scan, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_license_scan": license_scan.query,
+    "op9_bpe": bpe.query,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
