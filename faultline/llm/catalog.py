@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from faultline.llm import bpe, license_scan, url_filter
+from faultline.llm import bpe, license_scan, token_store, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_license_scan": license_scan.query,
+    "op5_token_store": token_store.query,
     "op9_bpe": bpe.query,
 }
 ORACLES = {
