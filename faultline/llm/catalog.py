@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from faultline.llm import bpe, license_scan, token_store, url_filter
+from faultline.llm import bpe, license_scan, token_store, url_filter, vector_search
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_license_scan": license_scan.query,
+    "op3_vector_search": vector_search.query,
     "op5_token_store": token_store.query,
     "op9_bpe": bpe.query,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
+    "op3_vector_search": vector_search.ORACLE,
 }
