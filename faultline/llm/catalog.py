@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from faultline.llm import bpe, license_scan, token_store, url_filter, vector_search
+from faultline.llm import bpe, license_scan, simhash, token_store, url_filter, vector_search
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_license_scan": license_scan.query,
     "op3_vector_search": vector_search.query,
+    "op4_simhash": simhash.query,
     "op5_token_store": token_store.query,
     "op9_bpe": bpe.query,
 }
