@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import bpe, license_scan, simhash, token_store, url_filter, vector_search
+from faultline.llm import bpe, decontaminate, license_scan, sanitise, simhash, token_store, url_filter, vector_search
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_vector_search": vector_search.query,
     "op4_simhash": simhash.query,
     "op5_token_store": token_store.query,
+    "op6_decontaminate": decontaminate.query,
+    "op7_sanitise": sanitise.query,
     "op9_bpe": bpe.query,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
     "op3_vector_search": vector_search.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
 }
