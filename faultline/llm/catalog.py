@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import bpe, decontaminate, license_scan, sanitise, simhash, token_store, url_filter, vector_search
+from faultline.llm import bpe, decontaminate, html_extract, license_scan, sanitise, simhash, token_store, url_filter, vector_search
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.query,
     "op7_sanitise": sanitise.query,
     "op9_bpe": bpe.query,
+    "op10_html_extract": html_extract.query,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,

@@ -37,7 +37,7 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def _host(url: Column) -> Column:
+def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER)
 
 
@@ -88,7 +88,7 @@ def judge_urls(
     a large share of the rows does not fill one task.
     """
     url = F.coalesce(F.col(url_column), F.lit(""))
-    rows = pages.select(F.col(id_column), _host(url).alias("host"), _path(url).alias("path"))
+    rows = pages.select(F.col(id_column), host_of(url).alias("host"), _path(url).alias("path"))
 
     known = (
         rules.select("host", "path", "verdict")
