@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import bpe, decontaminate, html_extract, license_scan, sanitise, simhash, token_store, url_filter, vector_search
+from faultline.llm import bpe, decontaminate, html_extract, license_scan, sanitise, simhash, token_store, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_store": token_store.query,
     "op6_decontaminate": decontaminate.query,
     "op7_sanitise": sanitise.query,
+    "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,
     "op10_html_extract": html_extract.query,
 }
