@@ -22,6 +22,9 @@ empty table gives an empty store.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from faultline.llm.bpe import byte_symbols
 from faultline.llm.common import scratch, ship, table, text_key
 
 MAGIC, VERSION = b"FLTS", 1
@@ -38,12 +42,10 @@ HEADER = struct.Struct("<4sI6Q")
 SAMPLE = 256
 #: A segment closes after the document that takes it to this many ids.
 SEGMENT_IDS = 1 << 18
-#: Texts handed to the tokenizer at a time.
-ENCODE_ROWS = 256
 
 
-def pack(ends: np.ndarray, ids: np.ndarray, width: int) -> bytes:
-    """The segment image of ``ids`` with document boundaries ``ends``."""
+def pack(ends: np.ndarray, ids: bytes, width: int) -> bytes:
+    """The segment image of packed ``ids`` of ``width`` bytes with document boundaries ``ends``."""
     d, n = len(ends), int(ends[-1]) if len(ends) else 0
     low_bits = max(0, int(np.log2(n / d))) if d and n > d else 0
     ends = ends.astype(np.uint64)
@@ -56,7 +58,7 @@ def pack(ends: np.ndarray, ids: np.ndarray, width: int) -> bytes:
     packed_high = np.packbits(high, bitorder="little").tobytes()
     packed_low = np.packbits(low, bitorder="little").tobytes()
     head = HEADER.pack(MAGIC, VERSION, width, d, n, low_bits, len(packed_high), len(samples))
-    return b"".join((head, packed_high, packed_low, samples.tobytes(), ids.astype(f"<u{width}").tobytes()))
+    return b"".join((head, packed_high, packed_low, samples.tobytes(), ids))
 
 
 class Segment:
@@ -111,12 +113,24 @@ class Segment:
         return self.ids[self.boundary(i - 1) if i else 0 : self.boundary(i)]
 
 
-_TOKENIZERS: dict[str, object] = {}
+#: Characters whose class no Unicode version or library disputes; texts of these alone are split here.
+SETTLED = re.compile(r"[\t-\r -~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u024f\u2010-\u2027\u2030-\u203e\u20ac]*")
+#: The byte-level pattern for such texts: contractions, letters, digits, others, white space.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Pieces kept with their ids in a worker process; beyond it a piece is merged anew each time.
+MEMO_PIECES = 300_000
 
 
-def tokenizer(vocabulary: str):
-    """The library's tokenizer of a vocabulary file, once per worker process."""
-    if vocabulary not in _TOKENIZERS:
+class TextCoder(dict):
+    """Ids of whole texts by the tokenizers library, as packed integers.
+
+    Pieces between two splits recur, so the library's merge model is asked once for a piece and
+    the dictionary itself is the memo. Texts with characters outside ``SETTLED``, or that may hold
+    a special token, and vocabularies split otherwise, go through the library whole.
+    """
+
+    def __init__(self, vocabulary: str, end_id: int, memo: int = MEMO_PIECES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism here
         from tokenizers import Tokenizer
 
         path = vocabulary
@@ -124,43 +138,73 @@ def tokenizer(vocabulary: str):
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        _TOKENIZERS[vocabulary] = Tokenizer.from_file(path)
-    return _TOKENIZERS[vocabulary]
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.memo = memo
+        self.width = 2 if max(self.whole.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
+        self.end = np.array([end_id], self.kind).tobytes()
+        spec = json.loads(self.whole.to_str())
+        split = spec["pre_tokenizer"] or {}
+        self.in_pieces = (
+            spec["normalizer"] is None and spec["post_processor"] is None and spec["model"]["type"] == "BPE"
+            and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        )
+        self.marks = [t["content"] for t in spec["added_tokens"]]
+        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
+
+    def __missing__(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.symbols)
+        ids = np.array([t.id for t in self.model.tokenize(mapped)], self.kind).tobytes()
+        if len(self) < self.memo:
+            self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids of ``text`` and the end id."""
+        if self.in_pieces and SETTLED.fullmatch(text) and not any(m in text for m in self.marks):
+            return b"".join(map(self.__getitem__, PIECES.findall(text))) + self.end
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
+
+
+_CODERS: dict[tuple[str, int], TextCoder] = {}
+
+
+def text_coder(vocabulary: str, end_id: int) -> TextCoder:
+    """One coder per worker process and vocabulary."""
+    key = (vocabulary, end_id)
+    if key not in _CODERS:
+        _CODERS[key] = TextCoder(vocabulary, end_id)
+    return _CODERS[key]
 
 
 def _segments(vocabulary: str, end_id: int, segment_ids: int):
     kind = pa.schema([("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("blob", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism here
-        own = tokenizer(vocabulary)
-        width = 2 if max(own.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+        own = text_coder(vocabulary, end_id)
         keys: list = []
-        parts: list[np.ndarray] = []
+        parts: list[bytes] = []
         ends: list[int] = []
         n = first = 0
 
         def closed() -> pa.RecordBatch:
-            blob = pack(np.array(ends, np.int64), np.concatenate(parts), width)
+            blob = pack(np.array(ends, np.int64), b"".join(parts), own.width)
             row = ([first], [n], [keys], [blob])
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, kind)], schema=kind)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODE_ROWS):
-                piece = batch.slice(at, ENCODE_ROWS)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                for key, coded in zip(piece.column(0).to_pylist(), own.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array([*coded.ids, end_id], f"<u{width}")
-                    keys.append(key)
-                    parts.append(ids)
-                    n += len(ids)
-                    ends.append(n)
-                    if n >= segment_ids:
-                        yield closed()
-                        first += n
-                        keys, parts, ends, n = [], [], [], 0
+            for key, text in zip(*(batch.column(i) for i in range(2))):
+                ids = own.encode(text.as_py() or "")
+                keys.append(key.as_py())
+                parts.append(ids)
+                n += len(ids) // own.width
+                ends.append(n)
+                if n >= segment_ids:
+                    yield closed()
+                    first += n
+                    keys, parts, ends, n = [], [], [], 0
         if keys:
             yield closed()
 
