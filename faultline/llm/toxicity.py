@@ -39,10 +39,10 @@ from pyspark.sql import types as T
 from faultline.llm.common import scratch, ship, table, text_key
 from faultline.session import Scratch
 
-EXAMPLES, TERMS, BLOCK, K, DOUBT = 16_384, 4_096, 64, 16, 0.25
+EXAMPLES, TERMS, BLOCK, K, DOUBT = 16_384, 4_096, 64, 16, 2.0
 FOLDS = 5
 #: Beginnings of words that are terms of their own, in characters.
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words whose terms a worker remembers.
 MEMO_WORDS = 200_000
