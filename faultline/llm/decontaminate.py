@@ -131,9 +131,12 @@ def _covered(runs: Column) -> Column:
 
 def find_passages(
     documents: DataFrame, benchmark: DataFrame, work: Scratch, window: int = WINDOW,
-    id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
+    id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", keys: bool = False,
 ) -> DataFrame:
-    """(id, n_words, n_hit, items, near_items): hits and ids of matched items of every row of ``documents``."""
+    """(id, n_words, n_hit, items, near_items): hits and ids of matched items of every row of ``documents``.
+
+    ``keys`` adds ``_key``, which tells apart the texts of one id.
+    """
     rows = documents.select(
         F.col(id_column).alias("_id"), text_key(F.col(text_column)).alias("_key"), words(F.col(text_column)).alias("terms")
     )
@@ -165,6 +168,7 @@ def find_passages(
         F.coalesce(_covered(F.col("_runs")), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("_items", nothing).alias("items"),
         F.coalesce("_near", nothing).alias("near_items"),
+        *(["_key"] if keys else []),
     )
 
 

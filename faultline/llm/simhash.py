@@ -72,10 +72,12 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
-def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, _fp): the 64 bits as a signed long."""
+def fingerprints(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, *extra, _fp): the 64 bits as a signed long."""
     ship(documents.sparkSession)
-    return documents.select(F.col(id_column), _fingerprints(F.col(text_column)).alias("_fp"))
+    return documents.select(F.col(id_column), *extra, _fingerprints(F.col(text_column)).alias("_fp"))
 
 
 # ---- the trie self-join -------------------------------------------------------------------
@@ -260,17 +262,20 @@ def _jump(least: DataFrame, work: Scratch) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", budget: int = BUDGET
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", budget: int = BUDGET, extra: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(id, _fp, component): groups of rows whose fingerprints link, named by their smallest id."""
+    """(id, *extra, _fp, _group, component): groups of rows whose fingerprints link, named by their smallest id.
+
+    ``_group`` tells groups apart also where no row has an id.
+    """
     work = scratch(documents.sparkSession, "simhash")
-    prints = work.keep(fingerprints(documents, id_column, text_column), "fingerprints")
+    prints = work.keep(fingerprints(documents, id_column, text_column, extra), "fingerprints")
     distinct, n = work.keep_counted(prints.groupBy("_fp").agg(F.min(id_column).alias("_least")), "distinct")
     rooted = components(links(distinct.select("_fp"), n, work, budget), work)
     named = distinct.join(rooted.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("_root", F.coalesce("root", "_fp"))
     names = named.groupBy("_root").agg(F.min("_least").alias("component"))
-    placed = work.keep(named.select("_fp", "_root").join(names, "_root").select("_fp", "component"), "placed")
-    return prints.join(placed, "_fp").select(id_column, "_fp", "component")
+    placed = work.keep(named.select("_fp", "_root").join(names, "_root").select("_fp", F.col("_root").alias("_group"), "component"), "placed")
+    return prints.join(placed, "_fp").select(id_column, *extra, "_fp", "_group", "component")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
