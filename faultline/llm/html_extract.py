@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.common import ship, table
+from faultline.llm.common import scratch, ship, table
 from faultline.llm.url_filter import host_of
 
 #: Elements by their part in a page.
@@ -69,6 +69,8 @@ NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I) for tag in RAW}
 #: Votes that a page may cast; the rest of its containers score less than these.
 BALLOT = 5
+#: Hosts whose paths, some hundred bytes each, are broadcast; beyond it, copies of a host in a join.
+BROADCAST_HOSTS, SALTS = 50_000, 32
 LEAST_CHARS = 25
 
 
@@ -276,13 +278,25 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     return total.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
+def _with_path(rows: DataFrame, winners: DataFrame, n_hosts: int, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """Rows with the path of their host. Few hosts are broadcast, so no page is shuffled.
+
+    More hosts are joined with a salt, so that the pages of one large host go to several tasks.
+    """
+    if n_hosts <= broadcast_hosts:
+        return rows.join(F.broadcast(winners), "host", "left")
+    salted = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left").drop("_salt")
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row."""
     ship(pages.sparkSession)
     rows = pages.select(
         F.col(id_column), F.col(url_column), host_of(F.coalesce(F.col(url_column), F.lit(""))).alias("host"), F.col(html_column).alias("html")
     )
-    placed = rows.join(winning_paths(rows), "host", "left")
+    winners, n_hosts = scratch(pages.sparkSession, "host-paths").keep_counted(winning_paths(rows), "winners")
+    placed = _with_path(rows, winners, n_hosts)
     text = F.pandas_udf(_texts, T.StringType())("html", "path")
     return placed.select(id_column, url_column, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
