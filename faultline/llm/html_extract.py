@@ -19,6 +19,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -77,10 +78,11 @@ LEAST_CHARS = 25
 class Page:
     """Containers of a page as parallel lists, and its text blocks in page order."""
 
-    __slots__ = ("parent", "path", "tag", "flag", "bonus", "blocks")
+    __slots__ = ("parent", "label", "depth", "tag", "inside", "flag", "bonus", "blocks")
 
     def __init__(self, html: str):
-        self.parent, self.path, self.tag, self.flag, self.bonus = [-1], [""], ["html"], [0], [0]
+        self.parent, self.label, self.depth, self.tag, self.inside = [-1], [""], [0], ["html"], [False]
+        self.flag, self.bonus = [0], [0]
         self.blocks: list[tuple[int, str, float, bool]] = []  # (container, text, share of links, heading)
         self._read(html)
         self._settle()
@@ -88,8 +90,7 @@ class Page:
     def _node(self, parent: int, tag: str, attrs: str) -> int:
         flag, bonus, label = 0, 0, tag
         if tag in BOILERPLATE_TAGS:
-            inside = tag == "header" and self._inside_article(parent)
-            flag = 0 if inside else 2
+            flag = 0 if tag == "header" and self.inside[parent] else 2
         if tag in ("article", "main"):
             bonus = 25
         if attrs:
@@ -103,28 +104,32 @@ class Page:
                 for name in names.split():
                     parts = [w.lower() for w in NAME_WORD.findall(name)]
                     if tag not in NEVER_BY_CLASS and not (parts and parts[0] in LAYOUT_PREFIXES):
-                        if BOILERPLATE_WORDS.intersection(parts) and not (self._inside_article(parent) and "header" in parts):
+                        if BOILERPLATE_WORDS.intersection(parts) and not (self.inside[parent] and "header" in parts):
                             flag = max(flag, 1)
                     if GOOD_WORDS.intersection(parts):
                         bonus = max(bonus, 10)
                 classes = sorted({re.sub(r"\d+", "", c) for c in found.get("class", "").split()} - {""})
                 label = ".".join([tag, *classes])
         self.parent.append(parent)
-        self.path.append(f"{self.path[parent]}/{label}")
+        self.label.append(label)
+        self.depth.append(self.depth[parent] + 1)
+        self.inside.append(self.inside[parent] or tag in ("article", "main"))
         self.tag.append(tag)
         self.flag.append(flag)
         self.bonus.append(bonus)
         return len(self.parent) - 1
 
-    def _inside_article(self, node: int) -> bool:
+    def path(self, node: int) -> str:
+        """Labels from the root to a container; made when asked for, as nesting may be deep."""
+        labels = []
         while node > 0:
-            if self.tag[node] in ("article", "main"):
-                return True
+            labels.append(self.label[node])
             node = self.parent[node]
-        return False
+        return "/".join(["", *reversed(labels)])
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # open block elements: (tag, node that holds its text)
+        opened: Counter = Counter()  # their tags
         text: list[str] = []
         linked, links, unread, heading = 0, 0, 0, False
         at, end = 0, len(html)
@@ -168,16 +173,18 @@ class Page:
                     at = RAW_END[tag].search(html, at).start()
                 elif not attrs.endswith("/"):
                     unread += 1
+                    opened[tag] += 1
                     stack.append((tag, -1))
                 continue
             if closing:
                 if tag in RAW:
                     continue
-                if any(open_tag == tag for open_tag, _ in reversed(stack)):
+                if opened[tag]:
                     flush()
                     links = 0
                     while True:
                         gone, _ = stack.pop()
+                        opened[gone] -= 1
                         unread -= gone in UNREAD
                         if gone == tag:
                             break
@@ -187,7 +194,7 @@ class Page:
                 continue
             if unread and tag == "body":  # a head that was never closed
                 while stack[-1][1] < 0:
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                 unread = 0
             if unread:
                 continue
@@ -196,28 +203,28 @@ class Page:
             if tag in VOID:
                 continue
             while stack[-1][0] == "p" or stack[-1][0] in HEADINGS:  # these hold no block
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             for other in CLOSES.get(tag, ()):
                 if stack[-1][0] == other:
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
             node = stack[-1][1]
             if tag in CONTAINERS or tag in BOILERPLATE_TAGS or tag in ("ul", "ol", "table", "dl") or "class" in attrs or "id" in attrs:
                 node = self._node(node, tag, attrs)
             heading = tag in HEADINGS
             if attrs.endswith("/") and tag not in CONTAINERS:
                 continue
+            opened[tag] += 1
             stack.append((tag, node))
         flush()
 
     def _settle(self) -> None:
         """Spare containers named by class alone that hold an article; pass the others' flag down."""
+        holds = [tag in ("article", "main") for tag in self.tag]
         for i in range(len(self.parent) - 1, 0, -1):
-            if self.tag[i] in ("article", "main"):
-                up = self.parent[i]
-                while up > 0:
-                    if self.flag[up] == 1:
-                        self.flag[up] = 0
-                    up = self.parent[up]
+            if holds[i]:
+                holds[self.parent[i]] = True
+                if self.flag[i] == 1:
+                    self.flag[i] = 0
         for i in range(1, len(self.parent)):
             self.flag[i] = max(self.flag[i], self.flag[self.parent[i]])
 
@@ -240,16 +247,20 @@ class Page:
     def ballot(self) -> list[tuple[str, float]]:
         """Best paths of the page with their shares of its vote."""
         best: dict[str, float] = {}
-        for node, score in self.scores().items():
-            path = self.path[node]
-            best[path] = max(best.get(path, 0.0), score)
-        top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:BALLOT]
-        total = sum(s for _, s in top)
-        return [(p, s / total) for p, s in top]
+        for node, score in sorted(self.scores().items(), key=lambda x: (-x[1], self.depth[x[0]], x[0])):
+            best.setdefault(self.path(node), score)
+            if len(best) == BALLOT:
+                break
+        total = sum(best.values())
+        return [(p, s / total) for p, s in best.items()]
 
     def text(self, path: str | None) -> str:
         """Blocks of the containers on ``path``, else of the best container, else of the page."""
-        chosen = {i for i, p in enumerate(self.path) if p == path and not self.flag[i]} if path else set()
+        depth, last = (path.count("/"), path.rpartition("/")[2]) if path else (-1, "")
+        chosen = {
+            i for i, label in enumerate(self.label)
+            if label == last and self.depth[i] == depth and not self.flag[i] and self.path(i) == path
+        }
         if not chosen:
             scores = self.scores()
             chosen = {max(scores, key=lambda i: (scores[i], -i))} if scores else {0}
