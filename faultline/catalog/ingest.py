@@ -17,18 +17,18 @@ from faultline.sources.binding import Graph
 
 INSTALLS = """
 dpp2 AS (SELECT src,dst,constraint_ FROM dep WHERE src<2000000 AND dst<2000000),
-per AS (SELECT p.src AS lock, (v.package_id-1000000)//1000 AS block, v.package_id, k.name, arg_min(v.semver,v.id) AS top,
-  CASE WHEN min(v.id)<max(v.id) THEN arg_max(v.semver,v.id) END AS nested FROM pin p JOIN ver v ON v.id=p.dst JOIN pkg k ON k.id=v.package_id GROUP BY 1,2,3,4),
-inst AS MATERIALIZED (SELECT per.*, concat('order-',lock-5000000,'/ws-',CAST(block AS BIGINT)) AS doc, first_value(name) OVER (PARTITION BY lock,block ORDER BY package_id) AS host FROM per),
+rels AS MATERIALIZED (SELECT lock, concat('order-',lock-5000000) AS doc, package_id, name, semver AS version, row_number() OVER (PARTITION BY lock,package_id ORDER BY vid)-1 AS rank,
+  dense_rank() OVER (PARTITION BY lock ORDER BY package_id) AS slot
+  FROM (SELECT DISTINCT p.src AS lock, v.id AS vid, v.package_id, k.name, v.semver FROM pin p JOIN ver v ON v.id=p.dst JOIN pkg k ON k.id=v.package_id)),
+inst AS MATERIALIZED (SELECT lock, doc, package_id, name, version AS top FROM rels WHERE rank=0),
 decl AS MATERIALIZED (SELECT i.doc, i.package_id, i.name, d.constraint_, i.top, i.package_id%3=0 AS dev FROM inst i JOIN dep d ON d.src=i.lock AND d.dst=i.package_id),
-arcs AS MATERIALIZED (SELECT s.doc, s.package_id AS src, s.name AS src_name, s.top AS src_top, s.nested AS src_nested, s.host, t.package_id AS dst, t.name AS dst_name, t.top, t.nested, d.constraint_
-  FROM dpp2 d JOIN inst s ON s.package_id=d.src JOIN inst t ON t.doc=s.doc AND t.package_id=d.dst),
-rels AS (SELECT doc, package_id, name, top AS version FROM inst UNION ALL SELECT doc, package_id, name, nested FROM inst WHERE nested IS NOT NULL)"""
+arcs AS MATERIALIZED (SELECT s.doc, s.package_id AS src, s.name AS src_name, s.version AS src_version, CASE WHEN s.rank=0 THEN s.slot ELSE s.rank END AS below, t.package_id AS dst, t.name AS dst_name, t.top, d.constraint_
+  FROM dpp2 d JOIN rels s ON s.package_id=d.src JOIN inst t ON t.doc=s.doc AND t.package_id=d.dst)"""
 
 FLAT = """
 nedge AS MATERIALIZED (SELECT doc, CAST(NULL AS VARCHAR) AS src_name, CAST(NULL AS VARCHAR) AS src_version, name AS dst_name, constraint_, top AS dst_version, dev FROM decl
-  UNION ALL SELECT doc, src_name, src_top, dst_name, constraint_, CASE WHEN src_name=host AND nested IS NOT NULL THEN nested ELSE top END, src%3=0 FROM arcs
-  UNION ALL SELECT doc, src_name, src_nested, dst_name, constraint_, coalesce(nested,top), src%3=0 FROM arcs WHERE src_nested IS NOT NULL)"""
+  UNION ALL SELECT a.doc, a.src_name, a.src_version, a.dst_name, a.constraint_, coalesce(n.version,a.top), a.src%3=0 FROM arcs a
+  LEFT JOIN rels n ON n.doc=a.doc AND n.package_id=a.dst AND n.rank=a.below)"""
 
 NPM = """
 SELECT 'release' AS kind, r.doc, CAST(NULL AS VARCHAR) AS src, r.name AS dst, CAST(NULL AS VARCHAR) AS constraint_, r.version, r.package_id%3=0 AS dev,
@@ -37,8 +37,7 @@ UNION ALL SELECT 'edge', doc, concat_ws('@',src_name,src_version), dst_name, con
 
 # yarn and pnpm resolve every dependency to the first release of its package
 SHARED = """
-yarc AS MATERIALIZED (SELECT doc, src_name, src_top AS src_version, dst_name, constraint_, top AS dst_version FROM arcs
-  UNION ALL SELECT doc, src_name, src_nested, dst_name, constraint_, top FROM arcs WHERE src_nested IS NOT NULL),
+yarc AS MATERIALIZED (SELECT doc, src_name, src_version, dst_name, constraint_, top AS dst_version FROM arcs),
 hit_(doc,name,version,dev) AS (SELECT doc, name, top, dev FROM decl UNION SELECT h.doc, y.dst_name, y.dst_version, h.dev FROM hit_ h JOIN yarc y ON y.doc=h.doc AND y.src_name=h.name AND y.src_version=h.version),
 devonly AS (SELECT doc,name,version FROM hit_ GROUP BY 1,2,3 HAVING bool_and(dev))"""
 
@@ -160,7 +159,7 @@ SELECT r.doc, r.name, r.version, EXISTS (SELECT 1 FROM devonly o WHERE o.doc=r.d
 def dev_reachability(g: Graph) -> DataFrame:
     """Dev flags derived from the rows alone, without a lockfile text."""
     tops = C.installs(g).select("doc", F.col("package_id").alias("dst"), F.col("top").alias("dst_version"))
-    both = C.installs(g).select("doc", F.col("package_id").alias("src"), F.col("name").alias("src_name"), F.explode(F.array_compact(F.array("top", "nested"))).alias("src_version"))
+    both = C.releases(g).select("doc", F.col("package_id").alias("src"), F.col("name").alias("src_name"), F.col("version").alias("src_version"))
     flags = [F.lit(False).alias("dev"), F.lit(False).alias("direct"), F.lit(None).cast("string").alias("resolved_url"), F.lit(None).cast("string").alias("integrity")]
     releases = both.select("doc", F.col("src_name").alias("name"), F.col("src_version").alias("version"), *flags)
     none = F.lit(None).cast("string")
@@ -174,7 +173,7 @@ def dev_reachability(g: Graph) -> DataFrame:
 
 
 def lock_table(g: Graph) -> DataFrame:
-    """(doc, repo, path, kind): the service owning each rendered workspace."""
+    """(doc, repo, path, kind): the service owning each rendered lockfile."""
     owners = g.lockfile.select(F.col("id").alias("lock"), "service_id").join(
         g.service.select(F.col("id").alias("service_id"), F.col("name").alias("repo")), "service_id"
     )
