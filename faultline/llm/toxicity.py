@@ -11,7 +11,7 @@ largest weight of each term and block is kept. A search adds up these maxima to
 block, scores blocks from the highest bound down, and stops when the ``K``-th best cosine found is
 above the next bound: the neighbours are exactly those of a full scan.
 
-Scores. Neighbours vote with the square of their cosine, together with the base rate as a vote of
+Scores. Examples with equal vectors are one neighbour, whose label is their mean. Neighbours vote with the square of their cosine, together with the base rate as a vote of
 weight ``DOUBT``. An isotonic fit on the examples, each scored without itself, turns votes into
 probabilities. The nearest examples are returned as evidence.
 
@@ -47,6 +47,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words whose terms a worker remembers.
 MEMO_WORDS = 200_000
 EVIDENCE = 3
+#: Blocks scored one by one before whole posting lists are taken.
+FIRST_BLOCKS = 8
 
 
 def word_terms(word: str) -> tuple[str, ...]:
@@ -58,6 +60,10 @@ def text_words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def vector_bytes(terms: np.ndarray, weights: np.ndarray) -> bytes:
+    return terms.tobytes() + weights.tobytes()
+
+
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents with each term, by label, added up per batch."""
     for frame in batches:
@@ -100,13 +106,21 @@ class Model:
         return terms, weights / np.linalg.norm(weights) if len(terms) else weights
 
     def build(self, keys: list, labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Index examples; those that share their heaviest term lie side by side, so blocks differ."""
-        heaviest = [int(t[np.argmax(w)]) for t, w in vectors]
-        order = sorted(range(len(keys)), key=lambda i: (heaviest[i], labels[i], keys[i]))
-        self.keys = [keys[i] for i in order]
-        self.labels = np.array([labels[i] for i in order], float)
-        n_terms, self.n_blocks = len(self.ids), -(-len(keys) // BLOCK)
-        rows = [(t, place, w) for place, i in enumerate(order) for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist())]
+        """Index examples. Equal vectors are one entry with their counts, so copies vote once.
+
+        Entries that share their heaviest term lie side by side, so blocks differ.
+        """
+        entries: dict[bytes, list[int]] = {}
+        for i in sorted(range(len(keys)), key=lambda i: keys[i]):
+            entries.setdefault(vector_bytes(*vectors[i]), []).append(i)
+        heaviest = {k: int(vectors[m[0]][0][np.argmax(vectors[m[0]][1])]) for k, m in entries.items()}
+        order = sorted(entries, key=lambda k: (heaviest[k], keys[entries[k][0]]))
+        self.place = {k: at for at, k in enumerate(order)}
+        self.keys = [keys[entries[k][0]] for k in order]
+        self.counts = np.array([len(entries[k]) for k in order], float)
+        self.toxic = np.array([sum(labels[i] for i in entries[k]) for k in order], float)
+        n_terms, self.n_blocks = len(self.ids), -(-len(order) // BLOCK)
+        rows = [(t, at, w) for at, k in enumerate(order) for t, w in zip(*(x.tolist() for x in vectors[entries[k][0]]))]
         rows.sort()
         self.post_place = np.array([r[1] for r in rows], np.int64)
         self.post_weight = np.array([r[2] for r in rows], float)
@@ -117,30 +131,61 @@ class Model:
         self.maxima = self.maxima.reshape(n_terms, self.n_blocks)
 
     def neighbours(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, place) of the K nearest examples, nearest first, ties to the lower place."""
+        """(cosine, place) of the K nearest entries, nearest first, ties to the lower place."""
         if not len(terms) or not self.n_blocks:
             return []
         bounds = weights @ self.maxima[terms]
         order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         best: list[tuple[float, int]] = []
-        for block in order.tolist():
-            bound = bounds[block]
-            if bound <= 0 or (len(best) == K and best[-1][0] > bound * (1 + 1e-12)):
+        for n, block in enumerate(order.tolist()):
+            least = best[-1][0] if len(best) == K else 0.0
+            if least > bounds[block] * (1 + 1e-12):
                 break
+            if n >= FIRST_BLOCKS and (bounds[order[n:]] * (1 + 1e-12) >= least).sum() > FIRST_BLOCKS:
+                # many blocks are left: whole posting lists cost less than their cells one by one
+                return self._nearest(self._scores(terms, weights), without)
+            first = block * BLOCK
             scores = np.zeros(BLOCK)
             for t, w in zip(terms.tolist(), weights.tolist()):
                 a, b = self.cells[t * self.n_blocks + block], self.cells[t * self.n_blocks + block + 1]
                 if a < b:
-                    scores[self.post_place[a:b] - block * BLOCK] += w * self.post_weight[a:b]
-            places = np.flatnonzero(scores > 0)
-            best += [(s, block * BLOCK + p) for s, p in zip(scores[places].tolist(), places.tolist()) if block * BLOCK + p != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:K]
+                    scores[self.post_place[a:b] - first] += w * self.post_weight[a:b]
+            best = sorted([*best, *self._nearest(scores, without - first, first)], key=lambda x: (-x[0], x[1]))[:K]
         return best
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        mass = [s * s for s, _ in near]
-        toxic = sum(m * self.labels[p] for m, (_, p) in zip(mass, near))
-        return (toxic + DOUBT * self.base_rate) / (sum(mass) + DOUBT)
+    def _scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        scores = np.zeros(len(self.keys))
+        for t, w in zip(terms.tolist(), weights.tolist()):
+            a, b = self.cells[t * self.n_blocks], self.cells[(t + 1) * self.n_blocks]
+            scores[self.post_place[a:b]] += w * self.post_weight[a:b]
+        return scores
+
+    @staticmethod
+    def _nearest(scores: np.ndarray, without: int, first: int = 0) -> list[tuple[float, int]]:
+        if 0 <= without < len(scores):
+            scores[without] = 0.0
+        least = np.partition(scores, len(scores) - K)[len(scores) - K] if len(scores) > K else 0.0
+        places = np.flatnonzero((scores >= least) & (scores > 0))
+        places = places[np.argsort(-scores[places], kind="stable")][:K]
+        return [(s, first + p) for s, p in zip(scores[places].tolist(), places.tolist())]
+
+    def vote(self, near: list[tuple[float, int]], own: tuple[int, int] | None = None) -> float:
+        """Share of toxicity near by; ``own`` (place, label) takes one example out of its entry."""
+        mass = toxic = 0.0
+        for s, p in near:
+            n, y = self.counts[p], self.toxic[p]
+            if own and own[0] == p:
+                n, y = n - 1, y - own[1]
+            mass += s * s
+            toxic += s * s * y / n
+        return (toxic + DOUBT * self.base_rate) / (mass + DOUBT)
+
+    def vote_without(self, terms: np.ndarray, weights: np.ndarray, label: int) -> float:
+        """The vote on an example by all the others."""
+        place = self.place[vector_bytes(terms, weights)]
+        near = self.neighbours(terms, weights, without=place if self.counts[place] == 1 else -1)
+        return self.vote(near, (place, label))
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Isotonic fit of label on vote by pooling adjacent violators."""
@@ -235,14 +280,13 @@ def _speaking(counted: DataFrame, n: int, n_toxic: int, n_terms: int) -> DataFra
 
 def _calibrate(model: Model, full: list, n_bare: int, n_bare_toxic: int, spark: SparkSession) -> None:
     """Votes of every example without itself, made by tasks; then the isotonic fit."""
-    place = {k: i for i, k in enumerate(model.keys)}
-    shared = spark.sparkContext.broadcast((model, [(place[k], y, v) for k, y, v in full]))
+    shared = spark.sparkContext.broadcast((model, full))
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, rows = shared.value
         for frame in batches:
             mine = [rows[i] for i in frame["id"]]
-            yield pd.DataFrame({"vote": [own.vote(own.neighbours(*v, without=p)) for p, _, v in mine], "toxic": [y for _, y, _ in mine]})
+            yield pd.DataFrame({"vote": [own.vote_without(*v, y) for _, y, v in mine], "toxic": [y for _, y, _ in mine]})
 
     scored = spark.range(len(full)).mapInPandas(votes, "vote double, toxic int").collect() if full else []
     bare = [(model.vote([]), 1)] * n_bare_toxic + [(model.vote([]), 0)] * (n_bare - n_bare_toxic)
@@ -259,13 +303,16 @@ def score_documents(documents: DataFrame, model: Model, id_column: str = "doc_id
     @F.pandas_udf(kind)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        bare = own.score([])
         for texts in batches:
-            out = []
+            out, seen = [], {}  # copies, and texts with the same few terms, share a result
             for text in texts:
-                near = own.neighbours(*own.vector(text))
-                shown = " ".join(f"{own.keys[p].split(':')[0]}:{s:.3f}" for s, p in near[:EVIDENCE])
-                out.append((own.score(near) if near else bare, shown))
+                vector = own.vector(text)
+                key = vector_bytes(*vector)
+                if key not in seen:
+                    near = own.neighbours(*vector)
+                    shown = " ".join(f"{own.keys[p].split(':')[0]}:{s:.3f}" for s, p in near[:EVIDENCE])
+                    seen[key] = (own.score(near), shown)
+                out.append(seen[key])
             yield pd.DataFrame(out, columns=["score", "evidence"])
 
     return documents.withColumn("_scored", scored(F.col(text_column)))

@@ -26,17 +26,21 @@ def test_index_finds_what_a_full_scan_finds():
     rng = np.random.default_rng(1)
     model = X.Model([f"t{i}" for i in range(50)], np.ones(50), 500, 0.2)
     dense = rng.random((500, 50)) * (rng.random((500, 50)) < 0.1)
-    dense[:40] = dense[0]  # equal vectors: ties
     dense = dense[dense.any(axis=1)]
+    dense[:40] = dense[0]  # equal vectors are one entry
+    dense[60:80, :] = 0
+    dense[60:80, :2] = np.random.default_rng(2).permutation(20)[:, None] % 4 + [[1, 2]]  # and near ones tie
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     vectors = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in dense]
-    model.build([str(i) for i in range(len(dense))], [i % 2 for i in range(len(dense))], vectors)
-    for row in rng.random((40, 50)) * (rng.random((40, 50)) < 0.15):
+    model.build([f"{i:03}" for i in range(len(dense))], [i % 2 for i in range(len(dense))], vectors)
+    assert model.counts.sum() == len(dense) and model.counts.max() == 40 and len(model.keys) < len(dense) - 38
+    dense = np.array([dense[int(k)] for k in model.keys])
+    for row in [*(rng.random((60, 50)) * (rng.random((60, 50)) < 0.15)), *np.eye(50)[:5], np.ones(50)]:
         if not row.any():
             continue
         row /= np.linalg.norm(row)
         near = model.neighbours(np.flatnonzero(row), row[np.flatnonzero(row)])
-        full = np.array([dense[int(k)] @ row for k in model.keys])
+        full = dense @ row
         best = sorted(full[full > 0], reverse=True)[: X.K]
         assert np.allclose([s for s, _ in near], best, atol=1e-12)
         assert np.allclose([full[p] for _, p in near], best, atol=1e-12)
