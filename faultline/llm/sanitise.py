@@ -145,12 +145,9 @@ def telling_terms(
         return pairs.select("entity", "term", F.lit(None).cast("double").alias("disclosure"))
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     candidates = work.keep(pairs.select("term").distinct(), "candidates")
-    held = (
-        rows.select(F.explode(F.array_distinct(words(F.col("_text")))).alias("term"))
-        .join(candidates, "term")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_term"))
-    )
+    # counted per task before anything is joined: a common term among the candidates costs one row for each task
+    counted = rows.select(F.explode(F.array_distinct(words(F.col("_text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    held = counted.join(candidates, "term")
     n = F.lit(float(max(2, rows.count())))
     content = F.log(n / F.col("n_entity"))
     mutual = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
@@ -164,14 +161,19 @@ def _entity() -> Column:
     return F.concat(F.col("kind"), F.lit(":"), F.lower("value"))
 
 
-def _term_spans(rows: DataFrame, spans: DataFrame, telling: DataFrame) -> DataFrame:
-    """Whole-word occurrences of telling terms in the documents that hold their value."""
-    wanted = (
+def _term_spans(rows: DataFrame, spans: DataFrame, telling: DataFrame, work: Scratch) -> DataFrame:
+    """Whole-word occurrences of telling terms in the documents that hold their value.
+
+    The list of documents is written first, so that Spark knows its size when it plans the join
+    with the texts, and moves no text where the list is small.
+    """
+    wanted = work.keep(
         spans.select("_id", "_key", _entity().alias("entity"))
         .join(telling, "entity")
         .groupBy("_id", "_key")
         .agg(F.array_sort(F.collect_set("term")).alias("_terms"))
-        .select(F.col("_id").alias("_doc"), F.col("_key").alias("_other"), "_terms")
+        .select(F.col("_id").alias("_doc"), F.col("_key").alias("_other"), "_terms"),
+        "holding",
     )
     # terms are letters and digits alone; of two that begin alike the longer is tried first
     longest = F.expr("array_sort(_terms, (a, b) -> CASE WHEN length(a) > length(b) THEN -1 WHEN length(a) < length(b) THEN 1 WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)")
@@ -189,7 +191,7 @@ def spans_of(documents: DataFrame, work: Scratch, id_column: str = "doc_id", tex
     plain = base.select("_id", "_key", "kind", "start", "stop", "value")
     if n == 0:
         return plain
-    terms = _term_spans(rows, base, telling).select("_id", "_key", "kind", "start", "stop", "value")
+    terms = _term_spans(rows, base, telling, work).select("_id", "_key", "kind", "start", "stop", "value")
     order = Window.partitionBy("_id", "_key").orderBy("start", F.desc("stop"))
     # a term inside a base span begins before an earlier span's end; one that a base span begins in ends after its start
     reach = F.max(F.when(F.col("kind") != "term", F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
