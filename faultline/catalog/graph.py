@@ -34,9 +34,9 @@ def node_lookup(g: Graph) -> DataFrame:
 
 
 @query("hydrate_nodes", sql("""
-SELECT w.id, CASE WHEN w.id//1000000 BETWEEN 1 AND 5 THEN ['Package','Version','Maintainer','Service','Lockfile'][CAST(w.id//1000000 AS INT)] END AS label,
+SELECT w.id, CASE WHEN w.id//1000000000000 BETWEEN 1 AND 5 THEN ['Package','Version','Maintainer','Service','Lockfile'][CAST(w.id//1000000000000 AS INT)] END AS label,
 coalesce(n.name, concat('node-',w.id)) AS name
-FROM (SELECT DISTINCT 4000000+o_custkey*7 AS id FROM orders UNION SELECT DISTINCT dst FROM dep) w LEFT JOIN nodes n ON n.id=w.id"""))
+FROM (SELECT DISTINCT 4000000000000+o_custkey*7 AS id FROM orders UNION SELECT DISTINCT dst FROM dep) w LEFT JOIN nodes n ON n.id=w.id"""))
 def hydrate_nodes(g: Graph) -> DataFrame:
     """Every dependency target, and service ids of which some are not stored."""
     service = g.ids.base(X.SERVICE)
@@ -65,7 +65,7 @@ def package_keys(g: Graph) -> DataFrame:
 
 
 @query("label_of_id", sql("""
-SELECT id, CASE WHEN id//1000000 BETWEEN 1 AND 5 THEN ['Package','Version','Maintainer','Service','Lockfile'][CAST(id//1000000 AS INT)] END AS label
+SELECT id, CASE WHEN id//1000000000000 BETWEEN 1 AND 5 THEN ['Package','Version','Maintainer','Service','Lockfile'][CAST(id//1000000000000 AS INT)] END AS label
 FROM (SELECT id FROM nodes UNION SELECT o_orderkey FROM orders)"""))
 def label_of_id(g: Graph) -> DataFrame:
     keys = g.spark.read.parquet(g.source("orders")).select(F.col("o_orderkey").alias("id"))

@@ -16,8 +16,8 @@ from faultline.sources import registry as G_
 from faultline.sources.binding import Graph
 
 INSTALLS = """
-dpp2 AS (SELECT src,dst,constraint_ FROM dep WHERE src<2000000 AND dst<2000000),
-rels AS MATERIALIZED (SELECT lock, concat('order-',lock-5000000) AS doc, package_id, name, semver AS version, row_number() OVER (PARTITION BY lock,package_id ORDER BY vid)-1 AS rank,
+dpp2 AS (SELECT src,dst,constraint_ FROM dep WHERE src<2000000000000 AND dst<2000000000000),
+rels AS MATERIALIZED (SELECT lock, concat('order-',lock-5000000000000) AS doc, package_id, name, semver AS version, row_number() OVER (PARTITION BY lock,package_id ORDER BY vid)-1 AS rank,
   dense_rank() OVER (PARTITION BY lock ORDER BY package_id) AS slot
   FROM (SELECT DISTINCT p.src AS lock, v.id AS vid, v.package_id, k.name, v.semver FROM pin p JOIN ver v ON v.id=p.dst JOIN pkg k ON k.id=v.package_id)),
 inst AS MATERIALIZED (SELECT lock, doc, package_id, name, version AS top FROM rels WHERE rank=0),
@@ -248,7 +248,7 @@ def allocate_ids(g: Graph) -> DataFrame:
 
 @query("upsert_nodes", sql("""
 SELECT coalesce(p.id,b.id) AS id, coalesce(b.q,p.downloads_weekly) AS downloads_weekly, coalesce(b.f,p.name) AS name FROM pkg p FULL OUTER JOIN
-(SELECT 1000000+l_suppkey*50 AS id, arg_max(CAST(l_quantity AS BIGINT),(l_shipdate,l_orderkey,l_linenumber,l_partkey,l_quantity)) FILTER (l_returnflag<>'N') AS q,
+(SELECT 1000000000000+l_suppkey*50 AS id, arg_max(CAST(l_quantity AS BIGINT),(l_shipdate,l_orderkey,l_linenumber,l_partkey,l_quantity)) FILTER (l_returnflag<>'N') AS q,
  arg_max(l_linestatus,(l_shipdate,l_orderkey,l_linenumber,l_partkey,l_quantity)) FILTER (l_tax>0.05) AS f FROM lineitem GROUP BY 1) b ON b.id=p.id"""))
 def upsert_nodes(g: Graph) -> DataFrame:
     """Line items as updates, with nulls, to known and unknown packages."""
@@ -265,7 +265,7 @@ def upsert_nodes(g: Graph) -> DataFrame:
 @query("upsert_edges", sql("""
 SELECT coalesce(a.src,b.src) AS src, coalesce(a.dst,b.dst) AS dst, coalesce(b.c,a.constraint_) AS constraint_,
 CAST(('0x'||substr(sha1(concat('DEPENDS_ON|',coalesce(a.src,b.src),'|',coalesce(a.dst,b.dst))),1,16))::UBIGINT >> 2 AS BIGINT) AS eid FROM dep a FULL OUTER JOIN
-(SELECT 4000000+o_custkey AS src, 5000000+o_orderkey-o_orderkey%2 AS dst, arg_min(o_orderpriority,(o_orderdate,o_orderkey)) AS c FROM orders GROUP BY 1,2) b ON b.src=a.src AND b.dst=a.dst"""))
+(SELECT 4000000000000+o_custkey AS src, 5000000000000+o_orderkey-o_orderkey%2 AS dst, arg_min(o_orderpriority,(o_orderdate,o_orderkey)) AS c FROM orders GROUP BY 1,2) b ON b.src=a.src AND b.dst=a.dst"""))
 def upsert_edges(g: Graph) -> DataFrame:
     """Orders as edge updates, several to one edge; the first of the batch wins."""
     orders = g.spark.read.parquet(g.source("orders"))

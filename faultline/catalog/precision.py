@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from faultline import schema as X
 from faultline.catalog.registry import query, sql
-from faultline.catalog.traversal import ROUTES, found_routes
 from faultline.catalog.versions import incidents
 from faultline.operators import precision as P
+from faultline.operators.routes import routes
 from faultline.operators import scans as S
 from faultline.operators.closure import reach
 from faultline.sources.binding import Graph
@@ -66,12 +66,18 @@ def refined_closure(g: Graph) -> DataFrame:
 
 
 @query("refined_routes", sql("""
-SELECT r.root, r.rank, array_to_string(r.chain,'>') AS chain FROM routes r
-WHERE NOT EXISTS (SELECT 1 FROM gate g WHERE g.root=r.root AND g.node=r.chain[2] AND g.gated)
-AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(r.chain[2:]) AS n) x WHERE NOT EXISTS (SELECT 1 FROM gclo c WHERE c.root=r.root AND c.node=x.n))""", ROUTES))
+SELECT root, rank, array_to_string(chain,'>') AS chain, truncated FROM (SELECT root, chain, row_number() OVER (PARTITION BY root ORDER BY hops, chain) AS rank,
+ count(*) OVER (PARTITION BY root)>400 AS truncated FROM gpaths WHERE hops>0) WHERE rank<=400""", """
+open_ AS MATERIALIZED (SELECT DISTINCT c.root, d.dst, d.src FROM (SELECT root, node FROM gclo UNION ALL SELECT root, root FROM roots) c JOIN dep d ON d.dst=c.node
+ JOIN gclo t ON t.root=c.root AND t.node=d.src
+ WHERE NOT EXISTS (SELECT 1 FROM gate g WHERE g.root=c.root AND d.dst=c.root AND g.node=d.src AND g.gated)),
+gpaths AS (SELECT root, root AS node, [root] AS chain, 0 AS hops FROM roots
+ UNION ALL SELECT p.root, o.src, list_append(p.chain,o.src), p.hops+1 FROM gpaths p JOIN open_ o ON o.root=p.root AND o.dst=p.node
+ WHERE p.hops<6 AND NOT list_contains(p.chain,o.src))"""))
 def refined_routes(g: Graph) -> DataFrame:
-    out = P.keep_routes(found_routes(g), gate(g).where("gated"), kept(g))
-    return out.select("root", "rank", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
+    """The first routes over what is left after refinement, not what is left of the first routes."""
+    out = routes(g.dependents, g.roots, X.DEFAULT_DEPTH, g.scratch, first_hop_blocked=gate(g).where("gated"), allowed=kept(g))
+    return out.select("root", "rank", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"), "truncated")
 
 
 REFINED = """

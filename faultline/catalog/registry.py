@@ -13,36 +13,36 @@ ORACLES: dict[str, str] = {}
 
 # The graph tables of faultline.sources.binding, as SQL over the warehouse tables.
 TABLES = """
-pkg AS (SELECT 1000000+p_partkey AS id, concat(replace(p_name,' ','-'),'-',p_partkey) AS name, 'npm' AS ecosystem,
+pkg AS (SELECT 1000000000000+p_partkey AS id, concat(replace(p_name,' ','-'),'-',p_partkey) AS name, 'npm' AS ecosystem,
   CAST((p_partkey*7919)%10007*102 AS BIGINT) AS downloads_weekly FROM part),
-svc AS (SELECT 4000000+c_custkey AS id, c_name AS name, CASE c_mktsegment WHEN 'MACHINERY' THEN 'tier-1'
+svc AS (SELECT 4000000000000+c_custkey AS id, c_name AS name, CASE c_mktsegment WHEN 'MACHINERY' THEN 'tier-1'
   WHEN 'BUILDING' THEN 'tier-2' WHEN 'AUTOMOBILE' THEN 'tier-2' ELSE 'tier-3' END AS criticality FROM customer),
-lock AS (SELECT 5000000+o_orderkey AS id, 4000000+o_custkey AS service_id,
+lock AS (SELECT 5000000000000+o_orderkey AS id, 4000000000000+o_custkey AS service_id,
   concat('order-',o_orderkey,'/package-lock.json') AS name, o_orderdate AS generated_at
   FROM orders WHERE o_orderpriority='1-URGENT'),
-mtn AS (SELECT 3000000+s_suppkey AS id, s_name AS name FROM supplier),
+mtn AS (SELECT 3000000000000+s_suppkey AS id, s_name AS name FROM supplier),
 rel AS (SELECT l_partkey, concat(1+CAST(l_quantity AS BIGINT)%5,'.',l_linenumber,'.',CAST(round(l_discount*100) AS BIGINT)) AS semver,
   min(l_shipdate) AS published_at FROM lineitem GROUP BY 1,2),
-ver AS MATERIALIZED (SELECT 1999999+row_number() OVER (ORDER BY l_partkey,semver) AS id, 1000000+l_partkey AS package_id, semver, published_at,
+ver AS MATERIALIZED (SELECT 1999999999999+row_number() OVER (ORDER BY l_partkey,semver) AS id, 1000000000000+l_partkey AS package_id, semver, published_at,
   published_at>=TIMESTAMP '1998-06-01 00:00:00' AND published_at<TIMESTAMP '1998-07-01 00:00:00' AS compromised_window,
   CAST(split_part(semver,'.',1) AS BIGINT)*1000000+CAST(split_part(semver,'.',2) AS BIGINT)*1000+CAST(split_part(semver,'.',3) AS BIGINT) AS num
   FROM rel),
-dpp AS (SELECT DISTINCT 1000000+l.l_partkey AS src, 1000000+m.p AS dst FROM lineitem l
+dpp AS (SELECT DISTINCT 1000000000000+l.l_partkey AS src, 1000000000000+m.p AS dst FROM lineitem l
   JOIN (SELECT l_orderkey,min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey) m ON l.l_orderkey=m.l_orderkey
   WHERE l.l_linenumber=7 AND l.l_returnflag='R' AND l.l_partkey<>m.p),
-dsp AS (SELECT DISTINCT k.service_id AS src, 1000000+l.l_partkey AS dst FROM lock k JOIN lineitem l ON k.id=5000000+l.l_orderkey
+dsp AS (SELECT DISTINCT k.service_id AS src, 1000000000000+l.l_partkey AS dst FROM lock k JOIN lineitem l ON k.id=5000000000000+l.l_orderkey
   WHERE l.l_linenumber=1),
 dep AS MATERIALIZED (SELECT src,dst,concat(CASE src%4 WHEN 0 THEN '^' WHEN 1 THEN '~' WHEN 2 THEN '>=' ELSE '' END,1+src%5,'.',1+src%7,'.0') AS constraint_ FROM dpp
   UNION ALL SELECT src,dst,concat('^',1+src%5,'.0.0') FROM dsp
   UNION ALL SELECT service_id,id,'lockfile' FROM lock
-  UNION ALL SELECT k.id,1000000+l.l_partkey,concat('=',min(concat(1+CAST(l_quantity AS BIGINT)%5,'.',l_linenumber,'.',CAST(round(l_discount*100) AS BIGINT))))
-  FROM lock k JOIN lineitem l ON k.id=5000000+l.l_orderkey WHERE l.l_linenumber=1 GROUP BY 1,2),
-pin AS MATERIALIZED (SELECT DISTINCT k.id AS src, v.id AS dst, v.semver AS resolved_version FROM lock k JOIN lineitem l ON k.id=5000000+l.l_orderkey
-  JOIN ver v ON v.package_id=1000000+l.l_partkey
+  UNION ALL SELECT k.id,1000000000000+l.l_partkey,concat('=',min(concat(1+CAST(l_quantity AS BIGINT)%5,'.',l_linenumber,'.',CAST(round(l_discount*100) AS BIGINT))))
+  FROM lock k JOIN lineitem l ON k.id=5000000000000+l.l_orderkey WHERE l.l_linenumber=1 GROUP BY 1,2),
+pin AS MATERIALIZED (SELECT DISTINCT k.id AS src, v.id AS dst, v.semver AS resolved_version FROM lock k JOIN lineitem l ON k.id=5000000000000+l.l_orderkey
+  JOIN ver v ON v.package_id=1000000000000+l.l_partkey
   AND v.semver=concat(1+CAST(l_quantity AS BIGINT)%5,'.',l_linenumber,'.',CAST(round(l_discount*100) AS BIGINT))),
 res AS (SELECT * FROM pin UNION ALL SELECT package_id, id, semver FROM ver),
-mnt AS (SELECT 1000000+l_partkey AS src, 3000000+l_suppkey AS dst, min(l_shipdate) AS since FROM lineitem WHERE l_linenumber=2 GROUP BY 1,2),
-adv AS (SELECT concat(CASE WHEN event_id%10=0 THEN 'MAL-' ELSE 'GHSA-' END,event_id) AS id, 1000000+user_id AS package_id,
+mnt AS (SELECT 1000000000000+l_partkey AS src, 3000000000000+l_suppkey AS dst, min(l_shipdate) AS since FROM lineitem WHERE l_linenumber=2 GROUP BY 1,2),
+adv AS (SELECT concat(CASE WHEN event_id%10=0 THEN 'MAL-' ELSE 'GHSA-' END,event_id) AS id, 1000000000000+user_id AS package_id,
   event_id%10=0 AS malicious, ts AS published, event_id, concat(1+CAST(floor(value) AS BIGINT)%5,'.0.0') AS introduced,
   CASE WHEN event_id%3=0 THEN NULL ELSE concat(2+CAST(floor(value) AS BIGINT)%5,'.0.0') END AS fixed,
   CASE WHEN event_id%10=0 THEN concat(1+CAST(floor(value) AS BIGINT)%5,'.1.',event_id%11) END AS exact_version,
@@ -90,7 +90,7 @@ gate AS MATERIALIZED (SELECT i.root, d.src AS node, bool_and(s.valid AND NOT (i.
   min(CASE WHEN s.valid AND NOT (i.num>=s.lo AND i.num<s.hi) THEN d.constraint_ END) AS first_out
   FROM inc i JOIN dep d ON d.dst=i.root JOIN span s ON s.constraint_=d.constraint_ GROUP BY 1,2),
 pins AS MATERIALIZED (SELECT i.root, r.src AS node, r.dst AS version_id, v.semver, v.compromised_window OR v.semver=i.bad_version AS windowed
-  FROM inc i JOIN ver v ON v.package_id=i.root JOIN res r ON r.dst=v.id WHERE r.src>=5000000),
+  FROM inc i JOIN ver v ON v.package_id=i.root JOIN res r ON r.dst=v.id WHERE r.src>=5000000000000),
 clean AS (SELECT root,node FROM pins GROUP BY 1,2 HAVING NOT bool_or(windowed)),
 gwalk AS (SELECT root, root AS node, 0 AS depth FROM inc
   UNION SELECT w.root, d.src, w.depth+1 FROM gwalk w JOIN dep d ON d.dst=w.node
@@ -99,12 +99,12 @@ gwalk AS (SELECT root, root AS node, 0 AS depth FROM inc
 gclo AS MATERIALIZED (SELECT root,node,CAST(min(depth) AS BIGINT) AS depth FROM gwalk WHERE node<>root GROUP BY 1,2),
 fleet AS (SELECT (SELECT count(*) FROM svc) AS total_services, (SELECT count(*) FROM svc WHERE criticality='tier-1') AS tier1_services,
   (SELECT count(*) FROM lock) AS total_lockfiles),
-blast AS (SELECT r.root, count(c.node) FILTER (c.node<2000000) AS exposed_packages,
-  count(c.node) FILTER (c.node>=4000000 AND c.node<5000000) AS exposed_services, count(c.node) FILTER (c.node>=5000000) AS exposed_lockfiles,
+blast AS (SELECT r.root, count(c.node) FILTER (c.node<2000000000000) AS exposed_packages,
+  count(c.node) FILTER (c.node>=4000000000000 AND c.node<5000000000000) AS exposed_services, count(c.node) FILTER (c.node>=5000000000000) AS exposed_lockfiles,
   count(s.id) AS tier1_exposed FROM roots r LEFT JOIN clo c ON c.root=r.root AND c.depth<=6
   LEFT JOIN svc s ON s.id=c.node AND s.criticality='tier-1' GROUP BY 1),
-rblast AS (SELECT r.root, count(c.node) FILTER (c.node<2000000) AS exposed_packages,
-  count(c.node) FILTER (c.node>=4000000 AND c.node<5000000) AS exposed_services, count(c.node) FILTER (c.node>=5000000) AS exposed_lockfiles,
+rblast AS (SELECT r.root, count(c.node) FILTER (c.node<2000000000000) AS exposed_packages,
+  count(c.node) FILTER (c.node>=4000000000000 AND c.node<5000000000000) AS exposed_services, count(c.node) FILTER (c.node>=5000000000000) AS exposed_lockfiles,
   count(s.id) AS tier1_exposed, count(c.node) AS exposed_nodes FROM roots r LEFT JOIN gclo c ON c.root=r.root
   LEFT JOIN svc s ON s.id=c.node AND s.criticality='tier-1' GROUP BY 1)
 """

@@ -129,7 +129,7 @@ def incident_report(g: Graph) -> DataFrame:
 
 PINNED = """
 pinned AS MATERIALIZED (SELECT d.dst AS root, d.src AS lockfile_id, max(d.constraint_) AS constraint_ FROM dep d JOIN roots r ON r.root=d.dst
-  WHERE d.src>=5000000 GROUP BY 1,2)"""
+  WHERE d.src>=5000000000000 GROUP BY 1,2)"""
 
 
 def pinned(g: Graph) -> DataFrame:
@@ -148,7 +148,7 @@ def pinned_constraints(g: Graph) -> DataFrame:
 
 
 PLAN = """
-exps AS MATERIALIZED (SELECT root, node AS service_id FROM clo WHERE depth<=6 AND node>=4000000 AND node<5000000),
+exps AS MATERIALIZED (SELECT root, node AS service_id FROM clo WHERE depth<=6 AND node>=4000000000000 AND node<5000000000000),
 wpin AS (SELECT DISTINCT v.package_id AS root, p.src AS lockfile_id FROM pin p JOIN ver v ON v.id=p.dst JOIN roots r ON r.root=v.package_id
   WHERE v.compromised_window OR v.semver=(SELECT bad_version FROM inc WHERE inc.root=v.package_id)),
 plan AS MATERIALIZED (SELECT a.root, l.service_id, s.name AS service, a.lockfile_id, l.name AS lockfile, 'npm' AS manager, 'overrides' AS override_field,
@@ -188,9 +188,9 @@ def unpatched_services(g: Graph) -> DataFrame:
 @query("override_merge", sql("""
 SELECT k.service_id, p.name AS package, coalesce(c.safe_version, CASE WHEN k.dst=k.lowest THEN '0.0.0' END) AS override,
 CASE WHEN k.declared THEN coalesce(c.safe_version,k.constraint_) END AS direct_spec, k.declared AS declared
-FROM (SELECT d.src AS service_id, d.dst, d.constraint_, true AS declared, min(d.dst) OVER (PARTITION BY d.src) AS lowest FROM dep d WHERE d.src>=4000000 AND d.src<5000000 AND d.dst<2000000
+FROM (SELECT d.src AS service_id, d.dst, d.constraint_, true AS declared, min(d.dst) OVER (PARTITION BY d.src) AS lowest FROM dep d WHERE d.src>=4000000000000 AND d.src<5000000000000 AND d.dst<2000000000000
   UNION ALL SELECT DISTINCT q.service_id, q.root, NULL, false, NULL FROM plan q WHERE NOT EXISTS (SELECT 1 FROM dep d WHERE d.src=q.service_id AND d.dst=q.root)
-    AND EXISTS (SELECT 1 FROM dep d WHERE d.src=q.service_id AND d.dst<2000000)) k
+    AND EXISTS (SELECT 1 FROM dep d WHERE d.src=q.service_id AND d.dst<2000000000000)) k
 JOIN pkg p ON p.id=k.dst LEFT JOIN (SELECT DISTINCT service_id, root, safe_version FROM plan) c ON c.service_id=k.service_id AND c.root=k.dst
 WHERE c.safe_version IS NOT NULL OR k.dst=k.lowest""", SAFE, PINNED, PLAN))
 def override_merge(g: Graph) -> DataFrame:

@@ -17,7 +17,7 @@ ROUTES = """
 paths AS (SELECT root, root AS node, [root] AS chain, 0 AS hops FROM roots
   UNION ALL SELECT p.root, d.src, list_append(p.chain,d.src), p.hops+1 FROM paths p
   JOIN (SELECT DISTINCT src,dst FROM dep) d ON d.dst=p.node WHERE p.hops<6 AND NOT list_contains(p.chain,d.src)),
-routes AS (SELECT * FROM (SELECT root, chain, hops, row_number() OVER (PARTITION BY root ORDER BY hops, chain) AS rank
+routes AS (SELECT * FROM (SELECT root, chain, hops, row_number() OVER (PARTITION BY root ORDER BY hops, chain) AS rank, count(*) OVER (PARTITION BY root)>400 AS truncated
   FROM paths WHERE hops>0) WHERE rank<=400)"""
 
 
@@ -33,16 +33,14 @@ def closure_depth6(g: Graph) -> DataFrame:
 
 @query("hop_distance", sql("SELECT root, node, depth FROM clo WHERE depth<=6"))
 def hop_distance(g: Graph) -> DataFrame:
-    """Shortest distances from the routes; members no route covers come last."""
-    by_route = R.hop_distances(found_routes(g)).where("node <> root")
-    out = C.late_members(by_route, g.closure(6).select("root", "node"))
-    return out.withColumn("depth", F.col("depth").cast("bigint"))
+    """Shortest distances of all members of the closure."""
+    return g.closure(6).select("root", "node", F.col("depth").cast("bigint").alias("depth"))
 
 
 @query("depth_sweep", sql("""
 SELECT root, count(*) FILTER (depth<=1) AS depth_1, count(*) FILTER (depth<=2) AS depth_2, count(*) FILTER (depth<=3) AS depth_3,
 count(*) FILTER (depth<=4) AS depth_4, count(*) FILTER (depth<=5) AS depth_5, count(*) FILTER (depth<=6) AS depth_6,
-count(*) FILTER (depth<=8) AS depth_8 FROM clo WHERE node>=4000000 AND node<5000000 GROUP BY root"""))
+count(*) FILTER (depth<=8) AS depth_8 FROM clo WHERE node>=4000000000000 AND node<5000000000000 GROUP BY root"""))
 def depth_sweep(g: Graph) -> DataFrame:
     return C.depth_sweep(g.closure(8), g.service.select(F.col("id").alias("node")), (1, 2, 3, 4, 5, 6, 8))
 
@@ -55,17 +53,18 @@ def wavefront(g: Graph) -> DataFrame:
     return C.wavefront(g.closure(6)).withColumn("hop", F.col("hop").cast("bigint"))
 
 
-@query("routes", sql("SELECT root, rank, CAST(hops AS BIGINT) AS hops, array_to_string(chain,'>') AS chain FROM routes", ROUTES))
+@query("routes", sql("SELECT root, rank, CAST(hops AS BIGINT) AS hops, array_to_string(chain,'>') AS chain, truncated FROM routes", ROUTES))
 def routes(g: Graph) -> DataFrame:
     return found_routes(g).select(
-        "root", "rank", F.col("hops").cast("bigint").alias("hops"), F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain")
+        "root", "rank", F.col("hops").cast("bigint").alias("hops"), F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"), "truncated"
     )
 
 
 @query("infection_edges", sql("""
-SELECT DISTINCT root, chain[i] AS source, chain[i+1] AS target FROM (SELECT root, chain, unnest(range(1,len(chain))) AS i FROM routes)""", ROUTES))
+SELECT DISTINCT c.root, c.node AS source, d.src AS target FROM (SELECT root, node, depth FROM clo UNION ALL SELECT root, root, 0 FROM roots) c
+JOIN dep d ON d.dst=c.node WHERE c.depth<6 AND d.src<>c.root"""))
 def infection_edges(g: Graph) -> DataFrame:
-    return R.infection_edges(found_routes(g))
+    return R.infection_edges(g.dependents, g.roots, g.closure(6), 6)
 
 
 @query("neighbours", sql("""

@@ -51,7 +51,7 @@ def semver_satisfies(g: Graph) -> DataFrame:
 
 @query("max_satisfying", sql("""
 SELECT d.dst AS package_id, d.constraint_, (SELECT arg_max(v.semver,v.num) FROM ver v WHERE v.package_id=d.dst AND v.num>=s.lo AND v.num<s.hi) AS semver
-FROM (SELECT DISTINCT dst, constraint_ FROM dep WHERE dst<2000000) d JOIN span s ON s.constraint_=d.constraint_"""))
+FROM (SELECT DISTINCT dst, constraint_ FROM dep WHERE dst<2000000000000) d JOIN span s ON s.constraint_=d.constraint_"""))
 def max_satisfying(g: Graph) -> DataFrame:
     return N.max_satisfying(
         g.depends_on.join(g.package.select(F.col("id").alias("dst")), "dst", "left_semi").select(

@@ -81,12 +81,3 @@ def wavefront(closure: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
         lambda acc, e: acc + e["value"],
     )
     return hops.select("root", "hop", arrived.cast("bigint").alias("arrived"), total.alias("infected"))
-
-
-def late_members(distances: DataFrame, members: DataFrame) -> DataFrame:
-    """Members that no route mentions join at the last hop seen, at least hop 1."""
-    last = distances.groupBy("root").agg(F.greatest(F.max("depth"), F.lit(1)).alias("_last"))
-    missing = members.join(distances, ["root", "node"], "left_anti").join(last, "root", "left")
-    return distances.select("root", "node", "depth").unionByName(
-        missing.select("root", "node", F.coalesce("_last", F.lit(1)).alias("depth"))
-    )

@@ -106,33 +106,6 @@ def refine(
     )
 
 
-def keep_by_evidence(
-    closure: DataFrame, reachable: DataFrame, evidenced: DataFrame, gated: DataFrame, clean: DataFrame
-) -> DataFrame:
-    """Pruned closure when only some routes are at hand.
-
-    Reachable nodes and nodes no route mentions stay, gated dependents without a
-    surviving route and clean lockfiles go, and nothing outside the closure enters.
-    """
-    key = ["root", "node"]
-    silent = closure.select(key).join(evidenced.select(key), key, "left_anti").join(gated.select(key), key, "left_anti")
-    return (
-        reachable.select(key).unionByName(silent).distinct()
-        .join(closure.select(key), key, "left_semi")
-        .join(clean.select(key), key, "left_anti")
-    )
-
-
-def keep_routes(routes: DataFrame, gated: DataFrame, kept: DataFrame) -> DataFrame:
-    """Routes that neither start over a gated edge nor visit a pruned node."""
-    numbered = routes.withColumn("_first", F.element_at("chain", 2)).join(
-        gated.select("root", F.col("node").alias("_first")), ["root", "_first"], "left_anti"
-    )
-    visits = numbered.select("root", "rank", F.explode(F.slice("chain", 2, F.size("chain"))).alias("node"))
-    broken = visits.join(kept.select("root", "node"), ["root", "node"], "left_anti").select("root", "rank").distinct()
-    return numbered.join(broken, ["root", "rank"], "left_anti").select(routes.columns)
-
-
 def blast_radius(exposed: DataFrame, roots: DataFrame, services: DataFrame, fleet: DataFrame, ids: X.IdSpace) -> DataFrame:
     """Exposure of the fleet per root from its exposed (root, node) rows."""
     tiers = services.select(F.col("id").alias("node"), X.is_tier1(F.col("criticality")).alias("_tier1"))

@@ -31,13 +31,21 @@ def ranges_of(constraints: DataFrame, column: str = "constraint_") -> DataFrame:
     return _parsed_once(constraints, column, V.range_sets, "sets")
 
 
+def with_key(versions: DataFrame, name: str) -> DataFrame:
+    """Releases with their ``strict`` or ``lenient`` version key, parsed here only where it is not stored."""
+    if name in versions.columns:
+        return versions
+    parser = V.strict_key if name == "strict" else V.lenient_key
+    keys = keys_of(versions, "semver", parser).withColumnRenamed("key", name)
+    if name == "lenient":
+        keys = keys.withColumn(name, F.coalesce(name, V.lenient_key(F.lit("0.0.0"))))
+    return versions.join(keys, "semver")
+
+
 def history(versions: DataFrame, scratch: Scratch) -> DataFrame:
     """Releases of each package, highest first; unparseable ones count as 0.0.0."""
-    plain = versions.select("package_id", "id", "semver")
-    keyed = plain.join(keys_of(plain, "semver", V.lenient_key), "semver").withColumn(
-        "key", F.coalesce("key", V.lenient_key(F.lit("0.0.0")))
-    )
-    ordered = rank_within(keyed, ["package_id"], [F.desc("key"), F.asc("id")], scratch)
+    keyed = with_key(versions, "lenient").select("package_id", "id", "semver", "lenient")
+    ordered = rank_within(keyed, ["package_id"], [F.desc("lenient"), F.asc("id")], scratch)
     return ordered.select("package_id", "id", "semver", "rank")
 
 
@@ -87,10 +95,7 @@ def bad_version(packages: DataFrame, versions: DataFrame, named: DataFrame, requ
     Order: requested, highest malicious, earliest windowed, newest. ``windowed`` is
     true for an unrecorded requested or malicious version.
     """
-    lenient = keys_of(versions, "semver", V.lenient_key).select(
-        "semver", F.coalesce("key", V.lenient_key(F.lit("0.0.0"))).alias("lenient")
-    )
-    newest = versions.join(lenient, "semver").groupBy("package_id").agg(
+    newest = with_key(versions, "lenient").groupBy("package_id").agg(
         F.max_by("semver", F.struct("lenient", -F.col("id"))).alias("newest_semver")
     )
     out = (
@@ -130,9 +135,10 @@ def safe_version(bad: DataFrame, versions: DataFrame) -> DataFrame:
     bad_keyed = bad.select("package_id", "bad_version").join(
         keys_of(bad, "bad_version", V.lenient_key).withColumnRenamed("key", "bad_key"), "bad_version", "left"
     )
-    keyed = versions.select("package_id", "semver", "id", "compromised_window", "published_at").join(
-        keys_of(versions, "semver", V.lenient_key), "semver"
-    ).where("key IS NOT NULL")
+    # a lenient key is stored as 0.0.0 for text without a version; such text is no candidate
+    keyed = with_key(versions, "lenient").where(V.lenient_key(F.col("semver")).isNotNull()).select(
+        "package_id", "semver", "id", "compromised_window", "published_at", F.col("lenient").alias("key")
+    )
     below = F.col("key") < F.col("bad_key")
     order = F.when(below & ~F.col("compromised_window"), F.struct("key", -F.col("id")))
     picked = bad_keyed.join(keyed, "package_id", "left").groupBy("package_id", "bad_version").agg(
@@ -166,7 +172,7 @@ def max_satisfying(wanted: DataFrame, versions: DataFrame) -> DataFrame:
     """
     asked = wanted.select("package_id", "constraint_").distinct()
     intervals = asked.join(ranges_of(asked), "constraint_").select("package_id", "constraint_", F.explode("sets").alias("range"))
-    keyed = versions.select("package_id", "semver", "id").join(keys_of(versions, "semver"), "semver")
+    keyed = with_key(versions, "strict").select("package_id", "semver", "id", F.col("strict").alias("key"))
     best = (
         intervals.join(keyed, "package_id")
         .where(V.inside(F.col("key"), F.col("range")))

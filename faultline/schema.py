@@ -20,14 +20,14 @@ TIER1 = ("tier-1", "tier1", "tier_1", "critical")
 MAX_DEPTH = 8
 DEFAULT_DEPTH = 6
 ROUTE_CAP = 400
-DEFAULT_SPAN = 1_000_000
+SPAN = 10**12  # ids of one label; the same for every data set, so that ids and edge ids stay put
 
 
 @dataclass(frozen=True)
 class IdSpace:
     """Block ``k`` of width ``span`` (k = 1..5) holds the ids of one label."""
 
-    span: int = DEFAULT_SPAN
+    span: int = SPAN
 
     def base(self, label: str) -> int:
         return (LABELS.index(label) + 1) * self.span

@@ -21,16 +21,17 @@ JOBS_AT_ONCE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; local sessions may lack one."""
+    """The folder named by ``spark.checkpoint.dir``, which every executor can reach."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="faultline-")
-    return _LOCAL_DIRS[app]
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
+        # one machine, where driver and executor are one process; a session of its own may lack the setting
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="faultline-")
+        return _LOCAL_DIRS[app]
+    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
 class Scratch:
@@ -84,6 +85,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="faultline-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")

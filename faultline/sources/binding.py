@@ -73,7 +73,8 @@ class Graph:
 
     def closure(self, depth: int = X.DEFAULT_DEPTH) -> DataFrame:
         """Closure of all roots; kept once at the largest bound, filtered below it."""
-        depth = max(1, min(X.MAX_DEPTH, depth))
+        if not 1 <= depth <= X.MAX_DEPTH:
+            raise ValueError(f"depth {depth} is not between 1 and {X.MAX_DEPTH}")
         full = self.once("closure", lambda: reach(self.dependents, self.roots, X.MAX_DEPTH, self.scratch))
         return full.where(F.col("depth") <= depth)
 
@@ -114,18 +115,6 @@ def _release_text() -> Column:
     )
 
 
-def _span(parts: DataFrame, releases: DataFrame, suppliers, customers, orders) -> int:
-    """Smallest power of ten, from a million up, that fits every label's offsets."""
-    tops = [
-        df.agg(F.max(c)).first()[0] or 0
-        for df, c in ((parts, "p_partkey"), (suppliers, "s_suppkey"), (customers, "c_custkey"), (orders, "o_orderkey"))
-    ] + [releases.count()]
-    span = X.DEFAULT_SPAN
-    while span <= max(tops):
-        span *= 10
-    return span
-
-
 def bind(spark: SparkSession, sf_dir: str) -> Graph:
     """Write the graph tables for one directory of warehouse tables."""
     scratch = Scratch(spark, "graph")
@@ -140,7 +129,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
         items.groupBy("l_partkey", _release_text().alias("semver")).agg(F.min("l_shipdate").alias("published_at")),
         "releases",
     )
-    ids = X.IdSpace(_span(parts, releases, suppliers, customers, orders))
+    ids = X.IdSpace()
     pkg, ver, mnt, svc, lck = (F.lit(ids.base(label)) for label in X.LABELS)
 
     package_base = parts.select(
@@ -159,7 +148,8 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
                 (F.col("published_at") >= F.lit(WINDOW_OPENS).cast("timestamp_ntz"))
                 & (F.col("published_at") < F.lit(WINDOW_CLOSES).cast("timestamp_ntz"))
             ).alias("compromised_window"),
-            V.strict_key(F.col("semver")).alias("key"),
+            V.strict_key(F.col("semver")).alias("strict"),
+            F.coalesce(V.lenient_key(F.col("semver")), V.lenient_key(F.lit("0.0.0"))).alias("lenient"),
         )
         .join(package_base.select(F.col("id").alias("package_id"), F.col("name").alias("package_name")), "package_id", "left")
         .withColumn("name", F.concat_ws("@", "package_name", "semver")),
@@ -185,7 +175,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
         "advisory",
     )
     newest = version.groupBy(F.col("package_id").alias("id")).agg(
-        F.max_by("semver", "key").alias("latest_version"), F.max("published_at").alias("last_published_at")
+        F.max_by("semver", "strict").alias("latest_version"), F.max("published_at").alias("last_published_at")
     )
     flagged = advisory.where("malicious").select(F.col("package_id").alias("id")).distinct().withColumn(
         "is_compromised", F.lit(True)

@@ -107,7 +107,7 @@ def advisories_of(records: DataFrame, first_only: bool = False) -> DataFrame:
             F.col("t.ecosystem").alias("ecosystem"),
             F.coalesce(
                 F.nullif("summary", F.lit("")),
-                F.nullif(F.substring(F.element_at(F.split(detail, r"\r\n|\r|\n"), 1), 1, 200), F.lit("")),
+                F.nullif(F.element_at(F.split(detail, r"\r\n|\r|\n"), 1), F.lit("")),
             ).alias("summary"),
             F.col("database_specific.severity").alias("severity"),
             F.col("id").startswith("MAL-").alias("malicious"),

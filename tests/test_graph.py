@@ -91,86 +91,98 @@ def test_routes_equal_enumeration(spark, scratch, cyclic, cap, hot_rows):
     assert got == {r: w for r, w in want.items() if w}
 
 
-def test_route_derivations(spark, scratch):
-    edges = edge_set(spark, scratch, [(2, 1), (3, 2), (3, 1), (4, 3)])
-    found = R.routes(edges, spark.createDataFrame([(1,)], "root bigint"), 6, scratch)
-    assert {(r.source, r.target) for r in R.infection_edges(found).collect()} == {(1, 2), (2, 3), (1, 3), (3, 4)}
-    assert {r.node: r.depth for r in R.hop_distances(found).collect()} == {1: 0, 2: 1, 3: 1, 4: 2}
-    members = spark.createDataFrame([(1, 2), (1, 99)], "root bigint, node bigint")
-    late = C.late_members(R.hop_distances(found), members)
-    assert {r.node: r.depth for r in late.collect()}[99] == 2
-
-
-ROOT, SATELLITE, ADAPTER, GARBLED, DUAL, CHILD = (1_000_000 + i for i in (4, 100, 101, 102, 103, 104))
-CLEAN_RELEASE, BAD_RELEASE = 2_000_001, 2_000_002
-S1, S2, S3, S4 = (4_000_000 + i for i in (1, 2, 3, 4))
-CLEAN_LOCK, BAD_LOCK = 5_000_001, 5_000_002
-DIRECT = [
-    (SATELLITE, "~4.27.0"), (ADAPTER, "^4.27.0"), (GARBLED, "definitely !! not a range"), (DUAL, "~4.26.0"),
-    (CLEAN_LOCK, "^4.0.0"), (BAD_LOCK, "=4.28.0"),
-]
-BEYOND = [(CHILD, SATELLITE), (DUAL, ADAPTER), (S1, ADAPTER), (S2, CLEAN_LOCK), (S3, BAD_LOCK)]
-
-
-def refinement(spark, scratch, bad="4.28.0", direct=DIRECT, windowed=True, pins=((CLEAN_LOCK, CLEAN_RELEASE), (BAD_LOCK, BAD_RELEASE))):
-    depends = spark.createDataFrame(
-        [(s, ROOT, c) for s, c in direct] + [(s, d, "*") for s, d in BEYOND], "src bigint, dst bigint, constraint_ string"
-    )
+def test_truncated_roots_and_infection_edges(spark, scratch):
+    """A hub with more dependents than the cap, a chain behind it, and a cycle."""
+    pairs = [(i, 1) for i in range(100, 550)] + [(2000, 549), (2001, 2000), (1, 2001), (100, 2001)] + [(31, 30), (30, 31)]
+    edges = edge_set(spark, scratch, pairs)
+    roots = spark.createDataFrame([(1,), (30,)], "root bigint")
+    found = R.routes(edges, roots, 6, scratch, 400)
+    got = {}
+    for row in found.orderBy("root", "rank").collect():
+        got.setdefault((row.root, row.truncated), []).append(list(row.chain))
+    assert got == {(1, True): chains(pairs, 1, 6)[:400], (30, False): [[30, 31]]}
+    closure = C.reach(edges, roots, 6, scratch)
+    depths = {(r.root, r.node): r.depth for r in closure.collect()}
+    assert depths[1, 2000] == 2 and depths[1, 2001] == 3
+    near = {(r, n) for (r, n), d in depths.items() if d < 6} | {(1, 1), (30, 30)}
+    want = {(r, dst, src) for r, n in near for src, dst in pairs if dst == n and src != r}
+    assert {tuple(r) for r in R.infection_edges(edges, roots, closure, 6).collect()} == want
+    assert (1, 2001, 100) in want  # back to a nearer node
+
+
+def test_routes_within_allowed_nodes(spark, scratch, cyclic):
+    edges = edge_set(spark, scratch, cyclic)
+    roots = spark.createDataFrame([(0,), (5,)], "root bigint")
+    allowed = spark.createDataFrame([(r, n) for r in (0, 5) for n in range(40) if (n + r) % 3], "root bigint, node bigint")
+    first = spark.createDataFrame([(0, 4), (5, 6)], "root bigint, node bigint")
+    got = {}
+    for row in R.routes(edges, roots, 3, scratch, 9, first_hop_blocked=first, allowed=allowed).orderBy("root", "rank").collect():
+        got.setdefault(row.root, []).append(list(row.chain))
+    blocked = {0: 4, 5: 6}
+    want = {r: [c for c in chains(cyclic, r, 3) if c[1] != blocked[r] and all((n + r) % 3 for n in c[1:])][:9] for r in (0, 5)}
+    assert got == {r: w for r, w in want.items() if w}
+
+
+def at(label, n):
+    return IDS.base(label) + n
+
+
+# A library with two majors: plugin and theme ask for the old one, cli for the new one; kit asks
+# for both ranges through two edges; widget gives no range and odd a text that is none. App one
+# is reached through cli, app two through plugin alone, app three through a lock on a bad release.
+CORE, PLUGIN, THEME, CLI, KIT, WIDGET, ODD, SKIN = (at(X.PACKAGE, n) for n in (7, 20, 21, 22, 23, 24, 25, 26))
+OLD, NEW, LATER = (at(X.VERSION, n) for n in (11, 12, 13))
+APP1, APP2, APP3, APP4, APP5 = (at(X.SERVICE, n) for n in (1, 2, 3, 4, 5))
+OLD_LOCK, NEW_LOCK = at(X.LOCKFILE, 31), at(X.LOCKFILE, 32)
+ASKS = [(PLUGIN, "^1.9.0"), (THEME, "1.x"), (CLI, ">=2.1.0 <3.0.0"), (KIT, "^1.0.0"), (KIT, "^2.0.0"), (WIDGET, None), (ODD, "latest || ???"), (OLD_LOCK, "^1.9.0 || ^2.0.0"), (NEW_LOCK, "2.3.1")]
+BEHIND = [(SKIN, THEME), (THEME, CLI), (APP1, CLI), (APP2, PLUGIN), (APP3, NEW_LOCK), (APP4, OLD_LOCK)]
+
+
+def refinement(spark, scratch, bad="2.3.1", asks=ASKS, flagged=True, pins=((OLD_LOCK, OLD), (NEW_LOCK, NEW))):
+    """(kept nodes, gated dependents, radius after, radius before) of the library's bad release."""
+    depends = spark.createDataFrame([(s, CORE, c) for s, c in asks] + [(s, d, "*") for s, d in BEHIND], "src bigint, dst bigint, constraint_ string")
     versions = spark.createDataFrame(
-        [(CLEAN_RELEASE, ROOT, "4.26.1", False), (BAD_RELEASE, ROOT, "4.28.0", windowed)],
+        [(OLD, CORE, "1.9.4", False), (NEW, CORE, "2.3.1", flagged), (LATER, CORE, "2.4.0", False)],
         "id bigint, package_id bigint, semver string, compromised_window boolean",
     )
-    resolved = spark.createDataFrame([(ROOT, CLEAN_RELEASE), (ROOT, BAD_RELEASE), *pins], "src bigint, dst bigint")
-    services = spark.createDataFrame([(S1, "tier-1"), (S2, "tier-2"), (S3, "tier-1"), (S4, "tier-3")], "id bigint, criticality string")
-    fleet = spark.createDataFrame([(4, 3)], "total_services bigint, total_lockfiles bigint")
-    incidents = spark.createDataFrame([(ROOT, bad)], "root bigint, bad_version string")
+    resolved = spark.createDataFrame([*pins, *((CORE, v) for v in (OLD, NEW, LATER))], "src bigint, dst bigint")
+    services = spark.createDataFrame([(APP1, "tier-2"), (APP2, "tier-1"), (APP3, "tier-1"), (APP4, "tier-3"), (APP5, "tier-3")], "id bigint, criticality string")
+    fleet = spark.createDataFrame([(5, 2)], "total_services bigint, total_lockfiles bigint")
+    incidents = spark.createDataFrame([(CORE, bad)], "root bigint, bad_version string")
     edges = split_hot(depends.select("src", "dst").distinct(), "dst", "src", scratch)
     closure = C.reach(edges, incidents.select("root"), 6, scratch)
     gate = P.hop1_gate(depends, incidents)
     clean = P.clean_lockfiles(P.lockfile_pins(resolved, versions, incidents, IDS))
-    refined = P.refine(edges, closure, incidents, gate, clean, 6, scratch)
-    kept = {r.node for r in refined.where("kept").collect()}
-    radius = P.blast_radius(refined.where("kept"), incidents, services, fleet, IDS).first()
-    before = P.blast_radius(closure, incidents, services, fleet, IDS).first()
-    return kept, {r.node: r.constraint_ for r in gate.where("gated").collect()}, radius, before
-
-
-def test_refinement_of_the_sample_graph(spark, scratch):
-    kept, gated, radius, before = refinement(spark, scratch)
-    assert kept == {ADAPTER, GARBLED, DUAL, S1, BAD_LOCK, S3}
-    assert gated == {SATELLITE: "~4.27.0", DUAL: "~4.26.0"}  # listed although it survives over another route
-    assert (before.exposed_services, before.percentage, before.exposed_lockfiles) == (3, 75.0, 2)
-    assert (radius.exposed_services, radius.percentage, radius.exposed_lockfiles, radius.tier1_exposed) == (2, 50.0, 1, 2)
-
+    refined = P.refine(edges, closure, incidents, gate, clean, 6, scratch).where("kept")
+    after, before = (P.blast_radius(c, incidents, services, fleet, IDS).first() for c in (refined, closure))
+    return {r.node for r in refined.collect()}, {r.node for r in gate.where("gated").collect()}, after, before
 
-@pytest.mark.parametrize("bad", [None, "not-a-version"])
-def test_unusable_bad_version_prunes_nothing(spark, scratch, bad):
-    kept, gated, radius, before = refinement(spark, scratch, bad)
-    assert gated == {} and radius.exposed_services == before.exposed_services == 3
-    assert {SATELLITE, CHILD, CLEAN_LOCK, S2} <= kept
 
+def test_only_ranges_that_admit_the_bad_release_count(spark, scratch):
+    kept, gated, after, before = refinement(spark, scratch)
+    assert gated == {PLUGIN, THEME}
+    assert kept == {CLI, KIT, WIDGET, ODD, THEME, SKIN, APP1, NEW_LOCK, APP3}  # theme comes back behind cli
+    assert (before.exposed_services, before.exposed_lockfiles, before.percentage) == (4, 2, 80.0)
+    assert (after.exposed_services, after.exposed_lockfiles, after.percentage, after.tier1_exposed) == (2, 1, 40.0, 1)
 
-def test_one_satisfied_edge_among_several_keeps_a_dependent(spark, scratch):
-    kept, gated, _, _ = refinement(spark, scratch, direct=DIRECT + [(SATELLITE, "^4.0.0")])
-    assert SATELLITE in kept and CHILD in kept and SATELLITE not in gated
-    kept, gated, _, _ = refinement(spark, scratch, direct=DIRECT + [(SATELLITE, None)])
-    assert SATELLITE in kept and SATELLITE not in gated
 
+@pytest.mark.parametrize("bad", [None, "two point three"])
+def test_without_an_orderable_release_everything_stays(spark, scratch, bad):
+    kept, gated, after, before = refinement(spark, scratch, bad)
+    assert not gated and after.exposed_services == before.exposed_services == 4 and {PLUGIN, APP2, OLD_LOCK} <= kept
 
-def test_windowed_pin_beats_clean_pin_and_bad_version_is_windowed_without_a_flag(spark, scratch):
-    mixed = ((CLEAN_LOCK, CLEAN_RELEASE), (CLEAN_LOCK, BAD_RELEASE), (BAD_LOCK, BAD_RELEASE))
-    kept, _, _, _ = refinement(spark, scratch, pins=mixed)
-    assert {CLEAN_LOCK, S2} <= kept
-    kept, _, _, _ = refinement(spark, scratch, windowed=False)
-    assert BAD_LOCK in kept and CLEAN_LOCK not in kept
 
+@pytest.mark.parametrize("also", [">=1.0.0", None])
+def test_a_second_edge_that_admits_it_opens_the_gate(spark, scratch, also):
+    kept, gated, _, _ = refinement(spark, scratch, asks=[*ASKS, (PLUGIN, also)])
+    assert gated == {THEME} and {PLUGIN, APP2} <= kept
 
-def test_nodes_without_route_evidence_stay(spark):
-    def table(*nodes):
-        return spark.createDataFrame([(1, n) for n in nodes], "root bigint, node bigint")
 
-    got = P.keep_by_evidence(table(2, 3, 4, 5, 6), table(2, 9), table(2, 3), table(4), table(6))
-    assert {r.node for r in got.collect()} == {2, 5}
+def test_a_lock_with_a_bad_pin_stays_and_the_bad_release_needs_no_flag(spark, scratch):
+    kept, _, _, _ = refinement(spark, scratch, pins=((OLD_LOCK, OLD), (OLD_LOCK, NEW), (NEW_LOCK, LATER)))
+    assert {OLD_LOCK, APP4} <= kept and not {NEW_LOCK, APP3} & kept
+    kept, _, _, _ = refinement(spark, scratch, flagged=False)
+    assert NEW_LOCK in kept and OLD_LOCK not in kept
 
 
 def test_numbering_and_ranks_with_one_hot_group(spark, scratch):
@@ -191,7 +203,8 @@ def test_numbering_and_ranks_with_one_hot_group(spark, scratch):
 def test_labels_and_edge_ids(spark):
     import hashlib
 
-    df = spark.createDataFrame([(999_999,), (1_000_000,), (2_999_999,), (5_999_999,), (6_000_000,)], "id bigint")
+    edge = [10**12 - 1, 10**12, 3 * 10**12 - 1, 6 * 10**12 - 1, 6 * 10**12]
+    df = spark.createDataFrame([(i,) for i in edge], "id bigint")
     labels = [r.l for r in df.orderBy("id").select(IDS.label_of(F.col("id")).alias("l")).collect()]
     assert labels == [None, "Package", "Version", "Lockfile", None]
     want = int.from_bytes(hashlib.sha1(b"DEPENDS_ON|1|2").digest()[:8], "big") >> 2

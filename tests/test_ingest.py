@@ -109,6 +109,8 @@ def test_ids_are_reused_and_continue_after_the_highest(spark, scratch):
     assert got == {"a": (1_000_008, True), "b": (1_000_007, False), "c": (1_000_009, True)}
     empty = known.where("false")
     assert {r.key: r.id for r in U.allocate_ids(keys, empty, 1_000_000, scratch).collect()} == {"a": 1_000_000, "b": 1_000_001, "c": 1_000_002}
+    with pytest.raises(Exception, match="no id left"):
+        U.allocate_ids(keys, empty, 1_000_000, scratch, span=2).collect()
 
 
 def test_expectations(spark):
