@@ -28,7 +28,7 @@ def edge_scan(g: Graph) -> DataFrame:
     return reduce(DataFrame.unionByName, [S.edge_scan(g, kind) for kind in X.PUBLIC_EDGES])
 
 
-@query("node_lookup", sql("SELECT label, id, name, CAST(NULL AS VARCHAR) AS detail FROM nodes WHERE id=3000001"))
+@query("node_lookup", sql("SELECT label, id, name, CAST(NULL AS VARCHAR) AS detail FROM nodes WHERE id=3000000000001"))
 def node_lookup(g: Graph) -> DataFrame:
     return S.node_lookup(g, g.ids.base(X.MAINTAINER) + 1)
 
