@@ -118,7 +118,7 @@ SETTLED = re.compile(r"[\t-\r -~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u024f\u
 #: The byte-level pattern for such texts: contractions, letters, digits, others, white space.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Pieces kept with their ids in a worker process; beyond it a piece is merged anew each time.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 600_000
 
 
 class TextCoder(dict):
