@@ -5,6 +5,11 @@ sentences, and the sequence of sentence ids of a document is matched against lic
 order of the rule table: a rule that fits takes its sentences out of the sequence, so a general
 rule listed later does not report again what a more special one has explained.
 
+Sentences are numbered by pieces, which end at line ends and punctuation. A known sentence may also
+run over several pieces up to a blank line (wrapped lines, marks of comments, a version after "v.",
+clauses split at a colon); it has the number of its first piece. Of known sentences that overlap,
+the one that starts first counts, and of those the longest.
+
 Defined results: one row per input row, repeated ids and rows included. Null and empty texts hold
 no sentence. ``licenses`` lists the distinct names in order of first place in the text (rule order
 breaks ties); ``first_sentence`` is the number, from 0, of the first known sentence, null if none;
@@ -81,13 +86,62 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("All-rights-reserved", ("all_rights",)),
 )
+_LATER = "as published by the free software foundation either version N of the license or at your option any later version"
+_GRANT = "is free software you can redistribute it and or modify it under the terms of the gnu"
+_BSD_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+#: Sentences of the standard texts and headers, as they run on. SQL knows the tables above alone.
+STANDARD_SENTENCES = (
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "mit_grant"),
+    ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software", "mit_condition"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit_warranty"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement", "mit_warranty"),
+    ("licensed under the apache license version N the license", "apache_notice"),
+    ("apache license version N january N", "apache_title"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache_warranty"),
+    *((f"this {what} {_GRANT} general public license {_LATER}", "gpl_grant_later") for what in ("program", "library", "software", "file")),
+    *((f"this {what} {_GRANT} lesser general public license {_LATER}", "lgpl_grant") for what in ("program", "library", "software", "file")),
+    *((f"this {what} {_GRANT} library general public license {_LATER}", "lgpl_grant") for what in ("program", "library")),
+    *((f"this {what} {_GRANT} affero general public license {_LATER}", "agpl_grant") for what in ("program", "library", "software", "file")),
+    (f"this program {_GRANT} general public license as published by the free software foundation version N of the license", "gpl_grant"),
+    (f"this program {_GRANT} general public license as published by the free software foundation either version N of the license", "gpl_grant"),
+    (f"this program {_GRANT} general public license version N as published by the free software foundation", "gpl_grant"),
+    *((f"this {what} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gnu_warranty") for what in ("program", "library", "software", "file")),
+    ("gnu general public license version N june N", "gpl_title"),
+    ("gnu general public license version N N june N", "gpl_title"),
+    ("gnu lesser general public license version N N june N", "lgpl_title"),
+    ("gnu lesser general public license version N february N", "lgpl_title"),
+    ("gnu affero general public license version N N november N", "agpl_title"),
+    ("gnu affero general public license version N november N", "agpl_title"),
+    ("mozilla public license version N", "mpl_title"),
+    (f"N {_BSD_SOURCE}", "bsd_source"),
+    (f"N {_BSD_BINARY}", "bsd_binary"),
+    ("N neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd_names"),
+    ("neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd_names"),
+    ("neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd_names"),
+)
+STANDARD_RULES = (
+    ("GPL-or-later", ("gpl_grant_later", "gnu_warranty")),
+    ("GPL-or-later", ("gpl_grant_later",)),
+    ("GPL", ("gpl_grant", "gnu_warranty")),
+    ("GPL", ("gpl_title",)),
+    ("LGPL", ("lgpl_grant", "gnu_warranty")),
+    ("LGPL", ("lgpl_grant",)),
+    ("LGPL", ("lgpl_title",)),
+    ("AGPL", ("agpl_grant", "gnu_warranty")),
+    ("AGPL", ("agpl_grant",)),
+    ("AGPL", ("agpl_title",)),
+    ("Apache", ("apache_title",)),
+    ("MPL", ("mpl_title",)),
+)
+ALL_SENTENCES, ALL_RULES = SENTENCES + STANDARD_SENTENCES, STANDARD_RULES + RULES
 #: A sentence ends at a line end, or at one of these with white space behind it.
 SENTENCE_END = r"\n|[.!?;:][ \t\r]+"
 VERSION = r"\b[0-9]+(\.[0-9]+)*\b"
 NOT_WORD = r"[^a-zN]+"
 
 
-def sentence_table(spark: SparkSession, sentences=SENTENCES) -> DataFrame:
+def sentence_table(spark: SparkSession, sentences=ALL_SENTENCES) -> DataFrame:
     rows = F.array(*(F.struct(F.lit(s).alias("_sentence"), F.lit(i).alias("_known")) for s, i in sentences))
     return spark.range(1).select(F.inline(rows))
 
@@ -106,21 +160,65 @@ def _apply_rules(sequence: Column, rules) -> Column:
     return sequence
 
 
+def _running(normal: DataFrame, sentences: DataFrame, id_column: str) -> DataFrame:
+    """(id, _key, _at, _last, _known): known sentences over more than one piece, none of them blank.
+
+    Pieces are joined by a bar and compared word by word. Only places whose first word begins a
+    known sentence are tried, and no further than the longest sentence has words.
+    """
+    known = sentences.withColumn("_begin", F.substring_index("_sentence", " ", 1)).withColumn("_n", F.length("_sentence"))
+    # one row: first words and the most words of the fixed table
+    bounds = known.agg(F.collect_set("_begin").alias("_begins"), F.max(F.size(F.split("_sentence", " "))).alias("_most"))
+    n = F.size("_pieces")
+    begins = F.filter(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.array_contains("_begins", F.substring_index(F.get("_pieces", i), " ", 1)) & (F.coalesce(F.get("_pieces", i + 1), F.lit("")) != ""),
+    )
+    tails = (
+        normal.crossJoin(F.broadcast(bounds))
+        .select(id_column, "_key", F.explode(F.transform(begins, lambda i: F.struct(i.alias("at"), F.slice("_pieces", i + 1, F.col("_most")).alias("pieces")))).alias("t"))
+        .select(id_column, "_key", F.col("t.at").alias("_at"), F.element_at(F.split(F.array_join("t.pieces", "|"), r"\|\|"), 1).alias("_tail"))
+        .withColumn("_words", F.translate("_tail", "|", " "))
+        .withColumn("_begin", F.substring_index("_words", " ", 1))
+    )
+    run = F.substring(F.col("_tail"), F.lit(1), F.col("_n"))
+    fits = F.col("_words").startswith(F.col("_sentence")) & F.substring(F.col("_tail"), F.col("_n") + 1, F.lit(1)).isin("", "|")
+    return (
+        tails.join(F.broadcast(known), "_begin")  # the fixed table
+        .where(fits & run.contains("|"))
+        .select(id_column, "_key", "_at", (F.col("_at") + F.length(run) - F.length(F.translate(run, "|", ""))).alias("_last"), "_known")
+    )
+
+
+def _apart(found: Column) -> Column:
+    """Drop what lies in the pieces of an earlier or longer sentence."""
+    start = F.struct(F.lit(-1).alias("last"), F.filter(found, lambda x: F.lit(False)).alias("kept"))
+    step = lambda s, x: F.when(
+        x["_at"] > s["last"], F.struct((-x["_back"]).alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))
+    ).otherwise(s)
+    several = F.exists(found, lambda x: x["_at"] != -x["_back"])
+    return F.when(several, F.aggregate(found, start, step, lambda s: s["kept"])).otherwise(found)
+
+
 def scan_licenses(
-    documents: DataFrame, sentences: DataFrame, rules=RULES, id_column: str = "doc_id", text_column: str = "text"
+    documents: DataFrame, sentences: DataFrame, rules=ALL_RULES, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """(id, n_license_sentences, first_sentence, licenses, unexplained) for every row."""
     rows = documents.select(
         F.col(id_column), text_key(F.col(text_column)).alias("_key"), F.coalesce(F.col(text_column), F.lit("")).alias("_text")
     )
-    placed = rows.select(id_column, "_key", F.posexplode(F.split("_text", SENTENCE_END)).alias("_at", "_raw")).select(
-        id_column, "_key", "_at", normalise(F.col("_raw")).alias("_sentence")
+    normal = rows.select(id_column, "_key", F.transform(F.split("_text", SENTENCE_END), normalise).alias("_pieces"))
+    single = (
+        normal.select(id_column, "_key", F.posexplode("_pieces").alias("_at", "_sentence"))
+        .join(sentences, "_sentence")
+        .select(id_column, "_key", "_at", F.col("_at").alias("_last"), "_known")
     )
-    # a set of (place, id) is the same however often its row is repeated
+    # a set of (place, last piece, id) is the same however often its row is repeated
     sequences = (
-        placed.join(sentences, "_sentence")
+        single.union(_running(normal, sentences, id_column))
         .groupBy(id_column, "_key")
-        .agg(F.array_sort(F.collect_set(F.struct("_at", "_known"))).alias("_found"))
+        .agg(F.array_sort(F.collect_set(F.struct("_at", (-F.col("_last")).alias("_back"), "_known"))).alias("_all"))
+        .withColumn("_found", _apart(F.col("_all")))
         .select(
             F.col(id_column).alias("_id"),
             F.col("_key").alias("_other"),
