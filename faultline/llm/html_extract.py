@@ -4,7 +4,9 @@ Each page is read into a tree of its containers. Containers collect scores from
 below them, and each page proposes its best ones as generalised paths: tags with their classes,
 digits taken out. Spark adds the votes of all pages of a host, a page's votes summing to at most
 one, and the winning path of the host is then used to extract its pages anew. A page that has no
-container on the winning path, or no host, uses its own best container.
+container on the winning path, or no host, uses its own best container. What is extracted is the
+nearest ``article`` or ``main`` around the chosen container; where there is none, containers below
+the body are climbed as long as unflagged text lies beside, so it does not depend on lengths.
 
 Blocks of menus, page headers, footers, sidebars, notices, adverts, forms and reader comments,
 told by tag, role and words in class and id, are neither scored nor extracted; nor are scripts,
@@ -254,6 +256,25 @@ class Page:
         total = sum(best.values())
         return [(p, s / total) for p, s in best.items()]
 
+    def _whole(self, chosen: set[int]) -> set[int]:
+        """The nearest article or main of each container, else its highest ancestor that adds text."""
+        held = [0] * len(self.parent)  # headings and texts that are not mostly links
+        for node, text, linked, heading in self.blocks:
+            held[node] += not self.flag[node] and linked < 0.5 and (heading or len(text) >= LEAST_CHARS)
+        for i in range(len(self.parent) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+        out, around = set(), [-1] * len(self.parent)  # the nearest article or main, 0 if none
+        top = [-1] * len(self.parent)
+        for i in range(len(self.parent)):
+            up = self.parent[i]
+            around[i] = i if self.tag[i] in ("article", "main") and not self.flag[i] else around[up] if i else 0
+            climbs = i > 0 and self.tag[up] in CONTAINERS and self.tag[up] not in ("html", "body") and not self.flag[up]
+            # top: the highest container reached by steps that each add text
+            top[i] = top[up] if climbs and (held[up] > held[i] or top[up] != up) else i
+        for i in chosen:
+            out.add(around[i] or top[i])
+        return out
+
     def text(self, path: str | None) -> str:
         """Blocks of the containers on ``path``, else of the best container, else of the page."""
         depth, last = (path.count("/"), path.rpartition("/")[2]) if path else (-1, "")
@@ -264,6 +285,7 @@ class Page:
         if not chosen:
             scores = self.scores()
             chosen = {max(scores, key=lambda i: (scores[i], -i))} if scores else {0}
+        chosen = self._whole(chosen)
         within = [False] * len(self.parent)
         for i in range(len(self.parent)):
             within[i] = i in chosen or (i > 0 and within[self.parent[i]])

@@ -74,3 +74,29 @@ def test_given_pages_against_their_template(spark):
         blocks = re.split(r"</?(?:p|h1)>", article[1]) if article else []
         want = [" ".join(unescape(re.sub(r"<[^>]*(>|\Z)", " ", b)).split()) for b in blocks]
         assert got[row.page_id] == "\n".join(filter(None, want))
+
+
+def prose(name, n):
+    return "".join(f"<p>{name} {i}, a long paragraph, with commas, and {'words ' * 60}</p>" for i in range(n))
+
+
+def test_what_is_kept_does_not_depend_on_length():
+    for n in (1, 5, 40):
+        lead = "<h1>Headline</h1><p>The lead of the story, which is a sentence of its own.</p>"
+        for page in (f"<article>{lead}<div class=body>{prose('b', n)}</div></article>", f"<div class=page>{lead}<div class=body>{prose('b', n)}</div></div>",
+                     f"<div class=page>{lead}<div><div class=body>{prose('b', n)}</div></div></div>"):
+            got = H.Page(f"<body><div class=menu>Menu of this page, with words</div>{page}<div class=other><a href=/>Links that go elsewhere, as many do</a></div></body>").text(None).split("\n")
+            assert got[:2] == ["Headline", "The lead of the story, which is a sentence of its own."] and len(got) == n + 2
+    parts = f"<div class=part-a>{prose('a', 20)}</div><div class=part-b>{prose('b', 4)}</div>"
+    for page in (f"<article>{parts}</article>", f"<main>{parts}</main>", f"<div id=page>{parts}</div>"):
+        assert H.Page(f"<body>{page}</body>").text(None).count("\n") == 23
+
+
+def test_several_templates_of_a_host(spark):
+    one = f"<body><article><h1>One</h1><p>The lead of the first, a sentence of its own.</p><div class=body>{prose('b', 30)}</div></article></body>"
+    two = f"<body><article><h1>Two</h1><div class=part-a>{prose('a', 20)}</div><div class=part-b>{prose('b', 4)}</div></article></body>"
+    short = "<body><article><h1>Three</h1><p>The lead of the third, a sentence of its own.</p><div class=body><p>Short.</p></div></article></body>"
+    got = extracted(spark, [(i, "http://h.org/a", one) for i in range(4)] + [(8, "http://h.org/b", two), (9, "http://h.org/c", short)])
+    assert got[0].startswith("One\nThe lead") and got[0].count("\n") == 31
+    assert got[8].startswith("Two\n") and got[8].count("\n") == 24
+    assert got[9] == "Three\nThe lead of the third, a sentence of its own.\nShort."
