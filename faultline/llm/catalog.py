@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import bpe, decontaminate, html_extract, license_scan, sanitise, simhash, token_store, toxicity, url_filter, vector_search
+from faultline.llm import bpe, decontaminate, html_extract, license_scan, manifest, sanitise, simhash, token_store, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,
     "op10_html_extract": html_extract.query,
+    "op13_manifest": manifest.query,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
     "op3_vector_search": vector_search.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op13_manifest": manifest.ORACLE,
 }
