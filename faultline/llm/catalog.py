@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import bpe, decontaminate, html_extract, license_scan, manifest, sanitise, simhash, token_store, toxicity, url_filter, vector_search
+from faultline.llm import bpe, decontaminate, html_extract, license_scan, manifest, multi_index, phrases, sanitise, simhash, token_store, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,
     "op10_html_extract": html_extract.query,
+    "op11_multi_index": multi_index.query,
+    "op12_phrases": phrases.query,
     "op13_manifest": manifest.query,
 }
 ORACLES = {
@@ -22,5 +24,6 @@ ORACLES = {
     "op2_license_scan": license_scan.ORACLE,
     "op3_vector_search": vector_search.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op12_phrases": phrases.ORACLE,
     "op13_manifest": manifest.ORACLE,
 }
