@@ -43,16 +43,27 @@ RUN, TEXT_BYTES = 1 << 21, 1 << 23
 RANGE_BYTES = 1 << 23
 SAMPLE_TEXTS, WINDOWS_A_TEXT, BORDER_BYTES = 1024, 256, 32
 
-#: What ends a piece (a class), and the mark put in its place, which no word can be.
-PIECE_ENDS, MARK = r"[.,;:!?\n-\r]", "."
+#: What ends a piece, and the mark put in its place, which no word can be.
+PIECE_ENDS, MARK = b".,;:!?\x0a\x0b\x0c\x0d", b"."
+_PLAIN = bytes.maketrans((UPPER.encode() + b"\t" + PIECE_ENDS), (LOWER.encode() + b" " + MARK * len(PIECE_ENDS)))
+
+
+def marked(texts: pa.Array) -> pa.Array:
+    """A-Z lower-cased, tabs as spaces, and every end of a piece a word of its own."""
+    filled = pc.fill_null(texts, "").cast(pa.large_string())
+    _, at, data = filled.buffers()
+    ends = np.frombuffer(at, np.int64, len(filled) + 1, 8 * filled.offset) if len(filled) else np.zeros(1, np.int64)
+    raw = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None else b""
+    # single bytes are exchanged, so the texts keep their places in the buffer
+    plain = pa.Array.from_buffers(pa.large_string(), len(filled), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(raw.translate(_PLAIN))])
+    return pc.replace_substring(plain, MARK.decode(), f" {MARK.decode()} ")
 
 
 def windows(langs: pa.Array, texts: pa.Array, ids: dict[bytes, int]) -> np.ndarray:
     """Rows (language, word, up to three more or -1), as numbers that ``ids`` keeps by label."""
-    marked = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), PIECE_ENDS, f" {MARK} ")
-    split = pc.ascii_split_whitespace(marked)
+    split = pc.ascii_split_whitespace(marked(texts))
     coded = pc.cast(split.flatten(), pa.large_binary()).dictionary_encode()
-    known = [ids.setdefault(word, len(ids)) if word not in (b"", MARK.encode()) else (-1 if word else -2) for word in coded.dictionary.to_pylist()]
+    known = [ids.setdefault(word, len(ids)) if word not in (b"", MARK) else (-1 if word else -2) for word in coded.dictionary.to_pylist()]
     tokens = np.array(known, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
     lengths = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     of = np.array([ids.setdefault(lang.encode(), len(ids)) for lang in langs.to_pylist()], np.int64)

@@ -125,3 +125,10 @@ def test_union_adds_weights_over_pieces(counted):
     assert whole.compose(list(want)) == [2 * a for a in want.values()]
     found, sums = summed(*whole.paths(5))
     assert len(found) == len(rows) and sorted(sums.tolist()) == sorted((2 * counts).tolist())
+
+
+def test_slices_of_a_batch_read_like_the_whole():
+    rows = [None if i % 7 == 0 else f"Wörter ÀB{i} {'é' * i}, x\ty" for i in range(300)]
+    whole = phrases.marked(pa.array(rows)).to_pylist()
+    parts = [w for i in range(0, 300, 37) for w in phrases.marked(pa.array(rows).slice(i, 37)).to_pylist()]
+    assert parts == whole and whole[3] == "wörter Àb3 ééé .  x y" and whole[0] == ""
