@@ -38,7 +38,7 @@ UNKNOWN = "und"
 #: A longer phrase hides what it contains from this share of its occurrences on, in percent.
 HIDES = 80
 #: Windows of one run, and bytes of text split at a time, within a task.
-RUN, TEXT_BYTES = 1 << 21, 1 << 23
+RUN, TEXT_BYTES = 1 << 20, 1 << 21
 #: Bytes of text whose windows one range holds on average.
 RANGE_BYTES = 1 << 23
 SAMPLE_TEXTS, WINDOWS_A_TEXT, BORDER_BYTES = 1024, 256, 32
@@ -103,11 +103,12 @@ def pieces(labels: list[bytes], rows: np.ndarray, counts: np.ndarray, borders: l
     cuts = [0, *cut_points(labels, rows, borders), len(rows)]
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if a < b:
-            used, inverse = np.unique(rows[a:b], return_inverse=True)
-            inverse = inverse.reshape(b - a, rows.shape[1]).astype(np.int32)
-            if used[0] < 0:
-                used, inverse = used[1:], inverse - 1
-            yield k, Transducer.build([labels[i] for i in used], inverse, counts[a:b]).dump()
+            held = np.zeros(len(labels) + 1, bool)  # the last place is for -1
+            held[rows[a:b]] = True
+            held[-1] = False
+            place = np.cumsum(held, dtype=np.int32) - 1
+            place[-1] = -1
+            yield k, Transducer.build([labels[i] for i in np.flatnonzero(held)], place[rows[a:b]], counts[a:b]).dump()
 
 
 def _shards(borders: list[tuple[bytes, ...]]):
@@ -161,7 +162,7 @@ def borders_of(docs: DataFrame) -> list[tuple[bytes, ...]]:
 
 
 def _spell(labels: list[bytes], rows: np.ndarray) -> tuple[list[str], list[str]]:
-    words = [word.decode() for word in labels]
+    words = {i: labels[i].decode() for i in np.unique(rows).tolist()}
     listed = rows.tolist()
     return [words[row[0]] for row in listed], [" ".join(words[i] for i in row[1:]) for row in listed]
 
