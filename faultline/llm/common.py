@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,20 @@ def scratch(spark: SparkSession, label: str) -> Scratch:
     return Scratch(spark, label)
 
 
+def set_aside(frame: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``frame`` with all columns but ``used`` under numbers, and the way back to its own columns.
+
+    Helper columns begin with an underscore or are named by an operator, so no column of the
+    caller's can meet them meanwhile.
+    """
+    held = {c: c if c in used else f"kept_{i}" for i, c in enumerate(frame.columns)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(h).alias(c) for c, h in held.items()))
+
+    return frame.select(*(F.col(f"`{c}`").alias(h) for c, h in held.items())), back
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; the fast built-in serves texts that are all ASCII."""
     plain = F.length(text) == F.octet_length(text)
