@@ -24,6 +24,7 @@ ORACLES = {
     "op2_license_scan": license_scan.ORACLE,
     "op3_vector_search": vector_search.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op11_multi_index": multi_index.ORACLE,
     "op12_phrases": phrases.ORACLE,
     "op13_manifest": manifest.ORACLE,
 }

@@ -314,3 +314,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept")
     )
+
+
+#: All pairs compared: what the query returns where the traversal misses no link.
+ORACLE = """
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER () AS n, vec_id, e,
+        coalesce(len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0, false) AS whole
+    FROM (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+w AS MATERIALIZED (SELECT n, vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v WHERE whole),
+l AS MATERIALIZED (SELECT a.n AS a, b.n AS b FROM w a JOIN w b ON a.n <> b.n AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+reach AS (SELECT n AS a, n AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+named AS (SELECT r.a AS n, min(w.vec_id) AS component FROM reach r JOIN w ON w.n = r.b GROUP BY r.a),
+counted AS (SELECT a AS n, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(c.n_links, 0) AS n_links, CASE WHEN v.whole THEN m.component ELSE v.vec_id END AS component_id,
+    coalesce(v.vec_id = CASE WHEN v.whole THEN m.component ELSE v.vec_id END, false) AS kept
+FROM v LEFT JOIN counted c ON c.n = v.n LEFT JOIN named m ON m.n = v.n
+"""

@@ -40,7 +40,7 @@ HIDES = 80
 #: Windows of one run, and bytes of text split at a time, within a task.
 RUN, TEXT_BYTES = 1 << 20, 1 << 21
 #: Bytes of text whose windows one range holds on average.
-RANGE_BYTES = 1 << 23
+RANGE_BYTES = 1 << 22
 SAMPLE_TEXTS, WINDOWS_A_TEXT, BORDER_BYTES = 1024, 256, 32
 
 #: What ends a piece, and the mark put in its place, which no word can be.

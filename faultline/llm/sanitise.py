@@ -1,14 +1,15 @@
 """Personal data in texts: patterns, and terms that give protected values away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Around each base
-span lie up to ``REACH`` words on either side, its context. Over the whole corpus, a value e and
-a term t are counted by distinct contexts (copies of a passage count once), and t also by the
-documents that hold it. With N documents, t tells
+span lie up to ``REACH`` words on either side, its context. Over the whole corpus, all counts are
+of documents: N in all, n(t) that hold a term, n(e) that hold a value, and n(e,t) where the term
+is in a context of the value. So a copied passage changes them alike, and t tells
 
     disclosure(t, e) = PMI(t; e) / IC(e),  PMI = log(n(e,t) N / (n(e) n(t))),  IC = log(N / n(e))
 
 of the information in e: 1 if t occurs with e alone, 0 if it is independent of e. Terms that reach
-``DISCLOSURE`` with at least ``SUPPORT`` contexts are further spans in the documents that hold e.
+``DISCLOSURE`` in at least ``SUPPORT`` distinct contexts, which copies do not add to, are further
+spans in the documents that hold e.
 
 Spans are [start, stop) in code points. A text is cut at the matches of a pattern; the pieces
 between them become rows, and a running sum of lengths inside one text gives the positions.
@@ -129,21 +130,22 @@ def telling_terms(
 ) -> DataFrame:
     """(entity, term, disclosure) for the terms that tell too much of a protected value."""
     contexts = (
-        spans.select(_entity().alias("entity"), _near_words(F.col("before"), F.col("after")).alias("_near"))
-        .select("entity", "_near", F.xxhash64("_near").alias("context"))
+        spans.select("_id", "_key", _entity().alias("entity"), _near_words(F.col("before"), F.col("after")).alias("_near"))
+        .select(F.struct("_id", "_key").alias("document"), "entity", "_near", F.xxhash64("_near").alias("context"))
         .distinct()
     )
     kept = F.filter(F.array_distinct("_near"), lambda t: (F.length(t) >= LEAST_TERM) & ~t.rlike("^[0-9]+$"))
     pairs, n_pairs = work.keep_counted(
-        contexts.select("entity", "context", F.explode(kept).alias("term"))
+        contexts.select("document", "entity", "context", F.explode(kept).alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_both"))
-        .where(F.col("n_both") >= support),
+        .agg(F.count_distinct("document").alias("n_both"), F.count_distinct("context").alias("_contexts"))
+        .where(F.col("_contexts") >= support)
+        .drop("_contexts"),
         "pairs",
     )
     if n_pairs == 0:
         return pairs.select("entity", "term", F.lit(None).cast("double").alias("disclosure"))
-    entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = contexts.groupBy("entity").agg(F.count_distinct("document").alias("n_entity"))
     candidates = work.keep(pairs.select("term").distinct(), "candidates")
     # counted per task before anything is joined: a common term among the candidates costs one row for each task
     counted = rows.select(F.explode(F.array_distinct(words(F.col("_text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))

@@ -13,10 +13,10 @@ import corpus_pipeline as P
 from faultline.llm import toxicity
 from faultline.session import Scratch
 
-from .conftest import documents
+from .conftest import CLASHING, documents
 from .test_decontaminate import brute as passages
+from .test_near_copies import brute_groups
 from .test_sanitise import PLAIN, valid
-from .test_simhash import groups_of, plain_fingerprint
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -51,9 +51,9 @@ def test_toxic_documents_go(spark, stages, scratch):
 
 def test_one_of_each_group_stays(stages):
     before, after = stages[1]
-    ids = sorted(texts(before))
-    prints = [plain_fingerprint(texts_by) for texts_by in map(texts(before).get, ids)]
-    roots = groups_of(prints)
+    held = texts(before)
+    ids = sorted(held)
+    roots = brute_groups([held[i] for i in ids])
     assert set(texts(after)) == {ids[r] for r in roots}
     assert len(set(roots)) < len(ids)
 
@@ -98,9 +98,13 @@ def test_run_is_the_stages(spark, stages):
 
 
 def test_odd_rows(spark, odd_rows):
-    docs = documents(spark, [*odd_rows, (8, "mail a@b.cd now please"), (9, "mail a@b.cd now please")])
+    names = tuple(dict.fromkeys((*CLASHING, "_scored", "_spans", "_doc", "_other", "_text_key", "_group", "kept_0", "a.b")))
+    docs = documents(spark, [*odd_rows, (8, "mail a@b.cd now please"), (9, "mail a@b.cd now please")], names)
+    columns = docs.columns
     for _, stage in P.STAGES[:-1]:
         docs = Scratch(spark, "odd").keep(stage(spark, docs, SMALL), "out")
+        assert docs.columns == columns
+    assert all(r["_spans"] == r["_key"] == r["a.b"] for r in docs.collect())
     kept = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
     assert (8, "mail [EMAIL] now please") in kept and all(i != 9 for i, _ in kept)
     assert [t for i, t in kept if i == 1] == ["another text under one id", "plain text of a few words"]

@@ -78,3 +78,17 @@ def test_odd_rows_and_masking(spark, scratch, odd_rows, empty):
     assert masked.count() == len(rows)
     assert sorted(str(r.text) for r in masked.collect())[-1] >= "" and {r.text for r in masked.collect()} >= {"mail [EMAIL]", None, ""}
     assert S.report(empty, scratch).count() == S.sanitise(empty, scratch).count() == 0
+
+
+def test_copied_passages_give_the_spans_of_the_uncopied(spark, scratch):
+    passages = ["mail to jo@x.org in Zanzibar was sent", "from Zanzibar wrote jo@x.org again later", "old Zanzibar friends know jo@x.org well"]
+    filler = [(1000 + i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(1500)]
+    found = {}
+    for copies in (1, 5, 40):
+        # what differs between copies lies beyond the context
+        apart = [" ".join(f"p{k}q{j}" for j in range(9)) for k in range(3)]
+        rows = [(100 * k + c, f"{p} {apart[k]} {c}") for k, p in enumerate(passages) for c in range(copies)]
+        got = {r.doc_id: r.spans for r in S.report(documents(spark, rows + filler), scratch).collect()}
+        found[copies] = {k: {got[100 * k + c] for c in range(copies)} for k in range(3)}
+    assert found[1] == found[5] == found[40]
+    assert all("term" in s for spans in found[1].values() for s in spans)
