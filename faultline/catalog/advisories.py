@@ -110,14 +110,14 @@ hit AS MATERIALIZED (SELECT DISTINCT v.id, v.package_id, v.semver, v.compromised
 
 @query("advisory_match", sql("SELECT id, package_id, semver FROM hit", OSV, MATCH))
 def advisory_match(g: Graph) -> DataFrame:
-    return A.affected_versions(g.version, targeted(g)).select("id", "package_id", "semver")
+    return A.affected_versions(g.version, targeted(g), g.scratch).select("id", "package_id", "semver")
 
 
 def applied(g: Graph) -> A.Applied:
     """All advisories applied to packages nothing is known about yet."""
     fresh = g.package.select("id", F.lit(False).alias("is_compromised"), F.lit(R.RISK_DEFAULT).alias("risk_score"))
     none = g.spark.createDataFrame([], "package_id bigint, advisory_id string")
-    return A.apply_advisories(fresh, none, g.version, targeted(g))
+    return A.apply_advisories(fresh, none, g.version, targeted(g), g.scratch)
 
 
 STATUS = """

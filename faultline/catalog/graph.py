@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,24 +11,67 @@ from faultline.operators import scans as S
 from faultline.sources.binding import Graph
 
 
-@query("label_scan", sql("""
-SELECT 'Package' AS label, id, name, CAST(downloads_weekly AS VARCHAR) AS detail FROM pkg
-UNION ALL SELECT 'Version', v.id, concat(p.name,'@',v.semver), v.semver FROM ver v JOIN pkg p ON p.id=v.package_id
-UNION ALL SELECT 'Maintainer', id, name, NULL FROM mtn
-UNION ALL SELECT 'Service', id, name, criticality FROM svc
-UNION ALL SELECT 'Lockfile', id, name, CAST(service_id AS VARCHAR) FROM lock"""))
+def _json(**fields: str) -> str:
+    """SQL for a JSON object of the fields that are not null; values are SQL for JSON text."""
+    members = ", ".join(f"CASE WHEN {value} IS NOT NULL THEN concat('\"{name}\":', {text}) END" for name, (value, text) in fields.items())
+    return f"concat('{{', array_to_string(list_filter([{members}], lambda m: m IS NOT NULL), ','), '}}')"
+
+
+def _text(column: str) -> tuple[str, str]:
+    return column, f"concat('\"', {column}, '\"')"
+
+
+def _plain(column: str) -> tuple[str, str]:
+    return column, f"CAST({column} AS VARCHAR)"
+
+
+def _instant(column: str) -> tuple[str, str]:
+    return column, f"concat('\"', strftime({column},'%Y-%m-%dT%H:%M:%S.%f'), '\"')"
+
+
+INSTANT = "%Y-%m-%dT%H:%M:%S.%f"
+NODE_ROWS = f"""
+pkgs AS (SELECT p.*, n.semver AS latest_version, l.last AS last_published_at, p.id IN (SELECT package_id FROM mal) AS is_compromised
+  FROM pkg p LEFT JOIN newest n ON n.package_id=p.id LEFT JOIN (SELECT package_id, max(published_at) AS last FROM ver GROUP BY 1) l ON l.package_id=p.id),
+vers AS (SELECT v.*, p.name AS package_name FROM ver v LEFT JOIN pkg p ON p.id=v.package_id),
+noderows AS (
+  SELECT 'Package' AS label, id, name, ecosystem, downloads_weekly, latest_version, strftime(last_published_at,'{INSTANT}') AS last_published_at, is_compromised,
+    CAST(NULL AS BIGINT) AS package_id, CAST(NULL AS VARCHAR) AS package_name, CAST(NULL AS VARCHAR) AS semver, CAST(NULL AS VARCHAR) AS published_at, CAST(NULL AS BOOLEAN) AS compromised_window,
+    CAST(NULL AS VARCHAR) AS criticality, CAST(NULL AS BIGINT) AS service_id, CAST(NULL AS VARCHAR) AS generated_at,
+    {_json(ecosystem=_text("ecosystem"), downloads_weekly=_plain("downloads_weekly"), latest_version=_text("latest_version"), last_published_at=_instant("last_published_at"), is_compromised=_plain("is_compromised"))} AS properties FROM pkgs
+  UNION ALL SELECT 'Version', id, concat_ws('@',package_name,semver), NULL, NULL, NULL, NULL, NULL, package_id, package_name, semver, strftime(published_at,'{INSTANT}'), compromised_window, NULL, NULL, NULL,
+    {_json(package_id=_plain("package_id"), package_name=_text("package_name"), semver=_text("semver"), published_at=_instant("published_at"), compromised_window=_plain("compromised_window"))} FROM vers
+  UNION ALL SELECT 'Maintainer', id, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '{{}}' FROM mtn
+  UNION ALL SELECT 'Service', id, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, criticality, NULL, NULL, {_json(criticality=_text("criticality"))} FROM svc
+  UNION ALL SELECT 'Lockfile', id, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, service_id, strftime(generated_at,'{INSTANT}'),
+    {_json(service_id=_plain("service_id"), generated_at=_instant("generated_at"))} FROM lock)"""
+
+
+def instants_as_text(rows: DataFrame) -> DataFrame:
+    """Times of day written out to the microsecond, so that engines compare them alike."""
+    return rows.select(*(F.date_format(c, S.INSTANT).alias(c) if kind.startswith("timestamp") else F.col(c) for c, kind in rows.dtypes))
+
+
+@query("label_scan", sql("SELECT * FROM noderows", NODE_ROWS))
 def label_scan(g: Graph) -> DataFrame:
-    return reduce(DataFrame.unionByName, [S.label_scan(g, label) for label in X.LABELS])
+    return instants_as_text(S.node_rows(g))
 
 
-@query("edge_scan", sql("SELECT type, src, dst, property FROM pub"))
+@query("edge_scan", sql(f"""
+SELECT type, CAST(('0x'||substr(sha1(concat(type,'|',src,'|',dst)),1,16))::UBIGINT >> 2 AS BIGINT) AS eid, src, dst, constraint_, since, resolved_version, edit_distance, similarity_score, properties FROM (
+  SELECT 'DEPENDS_ON' AS type, src, dst, constraint_, CAST(NULL AS VARCHAR) AS since, CAST(NULL AS VARCHAR) AS resolved_version, CAST(NULL AS BIGINT) AS edit_distance, CAST(NULL AS DOUBLE) AS similarity_score,
+    {_json(constraint_=_text("constraint_"))} AS properties FROM dep
+  UNION ALL SELECT 'MAINTAINED_BY', src, dst, NULL, strftime(since,'{INSTANT}'), NULL, NULL, NULL, {_json(since=_instant("since"))} FROM mnt
+  UNION ALL SELECT 'RESOLVED_IN', src, dst, NULL, NULL, resolved_version, NULL, NULL, {_json(resolved_version=_text("resolved_version"))} FROM res
+  UNION ALL SELECT 'TYPOSQUAT_OF', src, dst, NULL, NULL, NULL, edit_distance, similarity_score, {_json(edit_distance=_plain("edit_distance"), similarity_score=_plain("similarity_score"))} FROM squat)"""))
 def edge_scan(g: Graph) -> DataFrame:
-    return reduce(DataFrame.unionByName, [S.edge_scan(g, kind) for kind in X.PUBLIC_EDGES])
+    return instants_as_text(S.edge_rows(g))
 
 
-@query("node_lookup", sql("SELECT label, id, name, CAST(NULL AS VARCHAR) AS detail FROM nodes WHERE id=3000000000001"))
+@query("node_lookup", sql("""
+SELECT label, id, name, package_id, package_name, semver, published_at, compromised_window, properties FROM noderows WHERE id=2000000000001""", NODE_ROWS))
 def node_lookup(g: Graph) -> DataFrame:
-    return S.node_lookup(g, g.ids.base(X.MAINTAINER) + 1)
+    return instants_as_text(S.node_lookup(g, g.ids.base(X.VERSION) + 1))
 
 
 @query("hydrate_nodes", sql("""

@@ -17,12 +17,12 @@ from faultline.sources.binding import Graph
 
 INSTALLS = """
 dpp2 AS (SELECT src,dst,constraint_ FROM dep WHERE src<2000000000000 AND dst<2000000000000),
-rels AS MATERIALIZED (SELECT lock, concat('order-',lock-5000000000000) AS doc, package_id, name, semver AS version, row_number() OVER (PARTITION BY lock,package_id ORDER BY vid)-1 AS rank,
+rels AS MATERIALIZED (SELECT *, max(slot) OVER (PARTITION BY lock) AS width FROM (SELECT lock, concat('order-',lock-5000000000000) AS doc, package_id, name, semver AS version, row_number() OVER (PARTITION BY lock,package_id ORDER BY vid)-1 AS rank,
   dense_rank() OVER (PARTITION BY lock ORDER BY package_id) AS slot
-  FROM (SELECT DISTINCT p.src AS lock, v.id AS vid, v.package_id, k.name, v.semver FROM pin p JOIN ver v ON v.id=p.dst JOIN pkg k ON k.id=v.package_id)),
+  FROM (SELECT DISTINCT p.src AS lock, v.id AS vid, v.package_id, k.name, v.semver FROM pin p JOIN ver v ON v.id=p.dst JOIN pkg k ON k.id=v.package_id))),
 inst AS MATERIALIZED (SELECT lock, doc, package_id, name, version AS top FROM rels WHERE rank=0),
 decl AS MATERIALIZED (SELECT i.doc, i.package_id, i.name, d.constraint_, i.top, i.package_id%3=0 AS dev FROM inst i JOIN dep d ON d.src=i.lock AND d.dst=i.package_id),
-arcs AS MATERIALIZED (SELECT s.doc, s.package_id AS src, s.name AS src_name, s.version AS src_version, CASE WHEN s.rank=0 THEN s.slot ELSE s.rank END AS below, t.package_id AS dst, t.name AS dst_name, t.top, d.constraint_
+arcs AS MATERIALIZED (SELECT s.doc, s.package_id AS src, s.name AS src_name, s.version AS src_version, CASE WHEN s.rank=0 THEN s.slot ELSE (s.rank-1)%s.width+1 END AS below, t.package_id AS dst, t.name AS dst_name, t.top, d.constraint_
   FROM dpp2 d JOIN rels s ON s.package_id=d.src JOIN inst t ON t.doc=s.doc AND t.package_id=d.dst)"""
 
 FLAT = """
@@ -97,6 +97,19 @@ def lock_pnpm(g: Graph) -> DataFrame:
     return _rows(L.parse_pnpm(C.pnpm_documents(g), g.scratch))
 
 
+# the older form says itself which package is for development
+V6 = """
+SELECT 'release' AS kind, r.doc, CAST(NULL AS VARCHAR) AS src, r.name AS dst, CAST(NULL AS VARCHAR) AS constraint_, r.version, r.package_id%3=0 AS dev,
+ EXISTS (SELECT 1 FROM decl d WHERE d.doc=r.doc AND d.package_id=r.package_id AND d.top=r.version) AS direct FROM rels r
+UNION ALL SELECT 'edge', doc, NULL, name, constraint_, top, dev, false FROM decl
+UNION ALL SELECT DISTINCT 'edge', doc, concat(src_name,'@',src_version), dst_name, top, top, src%3=0, false FROM arcs"""
+
+
+@query("lock_pnpm_v6", sql(V6, INSTALLS))
+def lock_pnpm_v6(g: Graph) -> DataFrame:
+    return _rows(L.parse_pnpm(C.pnpm_v6_documents(g), g.scratch))
+
+
 @query("lockfile_files", sql("""
 SELECT remote, path, path=concat('svc/',o_orderkey,'/yarn.lock') AS is_lockfile,
  CASE WHEN o_orderkey%5=4 THEN NULL ELSE concat('https://host.example/org/repo-',o_orderkey) END AS address, concat('org/repo-',o_orderkey) AS repository

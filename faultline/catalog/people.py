@@ -9,6 +9,7 @@ from faultline.catalog.registry import query, sql
 from faultline.functions import names as N
 from faultline.operators import people as H
 from faultline.operators import scans as S
+from faultline.operators.scans import INSTANT
 from faultline.operators.typosquat import typosquat_edges
 from faultline import schema as X
 from faultline.sources.binding import Graph
@@ -38,19 +39,19 @@ def owned(g: Graph) -> DataFrame:
 
 
 @query("maintainer_network", sql("""
-SELECT maintainer_id, package_id, name, in_window, flagged, strftime(published_at,'%Y-%m-%d') AS published_on,
-strftime(since,'%Y-%m-%d') AS maintained_since FROM state""", STATE))
+SELECT maintainer_id, package_id, name, in_window, flagged, strftime(published_at,'%Y-%m-%dT%H:%M:%S.%f') AS published_at,
+strftime(since,'%Y-%m-%dT%H:%M:%S.%f') AS maintained_since FROM state""", STATE))
 def maintainer_network(g: Graph) -> DataFrame:
     found = H.network(owned(g), g.package, g.version)
     return found.select(
         "maintainer_id", "package_id", "name", "in_window", "flagged",
-        F.date_format("published_at", "yyyy-MM-dd").alias("published_on"),
-        F.date_format("maintained_since", "yyyy-MM-dd").alias("maintained_since"),
+        F.date_format("published_at", INSTANT).alias("published_at"),
+        F.date_format("maintained_since", INSTANT).alias("maintained_since"),
     )
 
 
 @query("maintainer_risk", sql("""
-SELECT maintainer_id, package_id, name, in_window, flagged, window_release, strftime(published_at,'%Y-%m-%d') AS published_on,
+SELECT maintainer_id, package_id, name, in_window, flagged, window_release, strftime(published_at,'%Y-%m-%dT%H:%M:%S.%f') AS published_at,
 count(*) FILTER (flagged) OVER (PARTITION BY maintainer_id) AS flagged_count,
 row_number() OVER (PARTITION BY maintainer_id ORDER BY flagged DESC, name, package_id) AS rank
 FROM state LEFT JOIN sole USING (maintainer_id) WHERE sole IS NULL OR package_id<>sole""", STATE))
@@ -60,13 +61,13 @@ def maintainer_risk(g: Graph) -> DataFrame:
     flagged = found.groupBy("maintainer_id").agg(F.count_if("flagged").alias("flagged_count"))
     return ranked.join(flagged, "maintainer_id").select(
         "maintainer_id", "package_id", "name", "in_window", "flagged", "window_release",
-        F.date_format("published_at", "yyyy-MM-dd").alias("published_on"), "flagged_count", "rank",
+        F.date_format("published_at", INSTANT).alias("published_at"), "flagged_count", "rank",
     )
 
 
-@query("maintained_since", sql("SELECT package_id, strftime(min(published_at),'%Y-%m-%d') AS since FROM ver GROUP BY 1"))
+@query("maintained_since", sql("SELECT package_id, strftime(min(published_at),'%Y-%m-%dT%H:%M:%S.%f') AS since FROM ver GROUP BY 1"))
 def maintained_since(g: Graph) -> DataFrame:
-    return g.version.groupBy("package_id").agg(F.date_format(F.min("published_at"), "yyyy-MM-dd").alias("since"))
+    return g.version.groupBy("package_id").agg(F.date_format(F.min("published_at"), INSTANT).alias("since"))
 
 
 @query("homoglyph_fold", sql("SELECT id, name, f AS folded, nullif(regexp_extract(name,'^(@[^/]*)/',1),'') AS scope FROM fold"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schema as X
+from faultline.catalog.advisories import OSV, STATUS, applied
+from faultline.catalog.graph import instants_as_text
 from faultline.catalog.people import STATE, owned
 from faultline.catalog.precision import REFINED, kept, pins, precision_summary, refined_radius
 from faultline.catalog.registry import query, sql
@@ -81,7 +83,9 @@ def severity(g: Graph) -> DataFrame:
 
 
 EVENTS = f"""
-ev AS (SELECT s.package_id AS root, s.safe_published_at AS "at", 'release' AS kind, 'info' AS severity, concat(p.name,'@',s.safe_version,': last release outside the window') AS event
+ev AS (SELECT *, CASE WHEN kind='sister' THEN (SELECT maintainer_id FROM prim WHERE prim.root=e0.root) END AS refers_to,
+  CASE WHEN kind='sister' THEN (SELECT count(*) FROM sis WHERE sis.root=e0.root AND in_window) ELSE 1 END AS stands_for FROM (
+  SELECT s.package_id AS root, s.safe_published_at AS "at", 'release' AS kind, 'info' AS severity, concat(p.name,'@',s.safe_version,': last release outside the window') AS event
     FROM safe s JOIN roots r ON r.root=s.package_id JOIN pkg p ON p.id=s.package_id WHERE s.safe_published_at IS NOT NULL
   UNION ALL SELECT root, min(published_at)-INTERVAL 1 MINUTE, 'credential','warning','compromise window opens: publish credentials used' FROM
     (SELECT package_id AS root, published_at FROM ver WHERE compromised_window UNION ALL SELECT root, published_at FROM sis WHERE in_window) GROUP BY 1
@@ -94,28 +98,64 @@ ev AS (SELECT s.package_id AS root, s.safe_published_at AS "at", 'release' AS ki
     (SELECT dst AS root, src AS c, edit_distance AS d FROM squat UNION ALL SELECT src, dst, edit_distance FROM squat) x
     JOIN roots r ON r.root=x.root JOIN pkg p ON p.id=x.c JOIN (SELECT package_id, max(published_at) AS last FROM ver GROUP BY 1) l ON l.package_id=x.c
   UNION ALL SELECT b.root, TIMESTAMP '{DETECTED}', 'detection','critical', concat('exposed: ',exposed_packages,' packages, ',exposed_lockfiles,'/',f.total_lockfiles,
-    ' lockfiles, ',exposed_services,'/',f.total_services,' services, ',tier1_exposed,' tier-1') FROM rblast b, fleet f)"""
+    ' lockfiles, ',exposed_services,'/',f.total_services,' services, ',tier1_exposed,' tier-1') FROM rblast b, fleet f) e0)"""
 
 
 def timeline_of(g: Graph) -> DataFrame:
     return g.once("timeline", lambda: I.timeline(
-        g.roots, g.package, g.version, incidents(g), safe_for_roots(g), I.sister_event_first(incident_sisters(g)), look_alikes(g),
+        g.roots, g.package, g.version, incidents(g), safe_for_roots(g), I.sister_reference(incident_sisters(g)), look_alikes(g),
         refined_radius(g), F.lit(DETECTED).cast("timestamp_ntz"), g.scratch))
 
 
 @query("timeline", sql("""
 SELECT root, row_number() OVER (PARTITION BY root ORDER BY kind='detection', ev."at", CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END, kind, event) AS rank,
-strftime(ev."at",'%Y-%m-%dT%H:%M:%SZ') AS "at", kind, severity, event FROM ev""", SAFE, STATE, SIGNALS, EVENTS))
+strftime(ev."at",'%Y-%m-%dT%H:%M:%SZ') AS "at", kind, severity, event, refers_to, stands_for FROM ev""", SAFE, STATE, SIGNALS, EVENTS))
 def timeline(g: Graph) -> DataFrame:
     return timeline_of(g).select(
-        "root", "rank", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), "kind", "severity", "event"
+        "root", "rank", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), "kind", "severity", "event", "refers_to", "stands_for"
+    )
+
+
+@query("sister_events", sql("""
+SELECT maintainer_id, package_id, strftime(published_at,'%Y-%m-%dT%H:%M:%S.%f') AS "at", concat('sister release ',name,'@',window_release) AS event FROM state WHERE in_window""", STATE))
+def sister_events(g: Graph) -> DataFrame:
+    """Every windowed package of every maintainer, to which the rows of ``timeline`` refer."""
+    return instants_as_text(I.sister_events(H.maintained_state(owned(g), g.package, g.version)))
+
+
+@query("root_sister_events", sql("""
+SELECT root, package_id, strftime(published_at,'%Y-%m-%dT%H:%M:%S.%f') AS "at" FROM sis WHERE in_window AND root IN (SELECT root FROM inc WHERE root IN (SELECT package_id FROM mal))""", STATE, SIGNALS))
+def root_sister_events(g: Graph) -> DataFrame:
+    """The sister events of the incidents at hand, flagged roots, one by one: what their timeline rows stand for."""
+    flagged = g.package.where("is_compromised").select(F.col("id").alias("root"))
+    refers = timeline_of(g).where("refers_to IS NOT NULL").join(flagged, "root", "left_semi").select("root", F.col("refers_to").alias("maintainer_id"))
+    events = I.sister_events(H.maintained_state(owned(g), g.package, g.version))
+    return instants_as_text(refers.join(events, "maintainer_id").where("package_id <> root").select("root", "package_id", "at"))
+
+
+@query("maintainer_report", sql("""
+SELECT root, maintainer_id, package_id, name, in_window, flagged, window_release, rank() OVER (PARTITION BY root ORDER BY flagged DESC, name, package_id) AS rank,
+(SELECT count(*) FROM sis x WHERE x.root=sis.root AND flagged) AS flagged_count FROM sis WHERE root=(SELECT s.id FROM stat s JOIN pkg p ON p.id=s.id
+ JOIN prim ON prim.root=s.id WHERE s.is_compromised ORDER BY p.downloads_weekly DESC, s.id LIMIT 1)""", OSV, STATUS, STATE, SIGNALS))
+def maintainer_report(g: Graph) -> DataFrame:
+    """Sisters of one named package: the most downloaded flagged root, by its primary maintainer."""
+    centre = (
+        applied(g).packages.where("is_compromised").select("id")
+        .join(g.roots.select(F.col("root").alias("id")), "id", "left_semi").join(g.package.select("id", "downloads_weekly"), "id")
+        .orderBy(F.desc_nulls_last("downloads_weekly"), "id").limit(1).select(F.col("id").alias("root"))
+    )
+    named = centre.join(H.primary_maintainer(g.maintained_by).withColumnRenamed("package_id", "root"), "root")
+    found = g.scratch.keep(H.sisters(owned(g), g.package, g.version, named), "named-sisters")
+    flagged = found.groupBy("root").agg(F.count_if("flagged").alias("flagged_count"))
+    return H.rank_sisters(found, ["root"], g.scratch).join(flagged, "root").select(
+        "root", "maintainer_id", "package_id", "name", "in_window", "flagged", "window_release", "rank", "flagged_count"
     )
 
 
 @query("incident_report", sql(f"""
 SELECT r.root, r.bad_version, r.services_before, r.exposed_services, r.exposed_packages, r.exposed_lockfiles, r.tier1_exposed, r.percentage, r.excluded_direct,
 s.safe_version, s.reason, k.score, k.flagged, k.look_alikes, e.n AS events, p.maintainer_id, {SEVERITY} AS severity
-FROM refd r LEFT JOIN safe s ON s.package_id=r.root LEFT JOIN risk k ON k.root=r.root LEFT JOIN (SELECT root, count(*) AS n FROM ev GROUP BY 1) e ON e.root=r.root
+FROM refd r LEFT JOIN safe s ON s.package_id=r.root LEFT JOIN risk k ON k.root=r.root LEFT JOIN (SELECT root, CAST(sum(stands_for) AS BIGINT) AS n FROM ev GROUP BY 1) e ON e.root=r.root
 LEFT JOIN prim p ON p.root=r.root""", SAFE, STATE, SIGNALS, EVENTS, f"refd AS ({REFINED})"))
 def incident_report(g: Graph) -> DataFrame:
     out = I.incident_report(
@@ -163,12 +203,13 @@ def exposed_services(g: Graph, refined: bool = False) -> DataFrame:
     return source.where(g.ids.is_label(F.col("node"), X.SERVICE)).select("root", F.col("node").alias("service_id"))
 
 
-def planned(g: Graph) -> DataFrame:
+def planned(g: Graph, refined: bool = False) -> DataFrame:
     def build() -> DataFrame:
         live = pins(g).where("windowed").select("root", F.col("node").alias("lockfile_id")).distinct()
-        return M.plan(g.lockfile, g.service, pinned(g), live, safe_for_roots(g).select("root", "bad_version", "safe_version"), exposed_services(g))
+        safe_ = safe_for_roots(g).select("root", "bad_version", "safe_version")
+        return M.plan(g.lockfile, g.service, pinned(g), live, safe_, exposed_services(g, refined))
 
-    return g.kept("plan", build)
+    return g.kept("plan-refined" if refined else "plan", build)
 
 
 @query("remediation_plan", sql("SELECT * FROM plan", SAFE, PINNED, PLAN))
@@ -185,6 +226,22 @@ def unpatched_services(g: Graph) -> DataFrame:
     ).select("root", "service_id", "name")
 
 
+EXPOSED_REFINED = "SELECT root, node AS service_id FROM gclo WHERE node>=4000000000000 AND node<5000000000000"
+PLAN_REFINED = PLAN.replace("SELECT root, node AS service_id FROM clo WHERE depth<=6 AND node>=4000000000000 AND node<5000000000000", EXPOSED_REFINED)
+
+
+@query("remediation_refined", sql("SELECT * FROM plan", SAFE, PINNED, PLAN_REFINED))
+def remediation_refined(g: Graph) -> DataFrame:
+    """The plan limited to services that are exposed after refinement."""
+    return planned(g, refined=True)
+
+
+@query("unpatched_refined", sql("""
+SELECT e.root, e.service_id FROM exps e WHERE NOT EXISTS (SELECT 1 FROM plan p WHERE p.root=e.root AND p.service_id=e.service_id)""", SAFE, PINNED, PLAN_REFINED))
+def unpatched_refined(g: Graph) -> DataFrame:
+    return M.unpatched(exposed_services(g, refined=True), planned(g, refined=True)).select("root", "service_id")
+
+
 @query("override_merge", sql("""
 SELECT k.service_id, p.name AS package, coalesce(c.safe_version, CASE WHEN k.dst=k.lowest THEN '0.0.0' END) AS override,
 CASE WHEN k.declared THEN coalesce(c.safe_version,k.constraint_) END AS direct_spec, k.declared AS declared

@@ -68,12 +68,10 @@ def infection_edges(g: Graph) -> DataFrame:
 
 
 @query("neighbours", sql("""
-SELECT id, count(*) AS neighbours, min(n) AS lowest, max(n) AS highest FROM
-(SELECT src AS id, dst AS n FROM pub WHERE src<>dst UNION SELECT dst, src FROM pub WHERE src<>dst) GROUP BY 1"""))
+SELECT e.id, e.n AS neighbour, CASE WHEN e.n//1000000000000 BETWEEN 1 AND 5 THEN ['Package','Version','Maintainer','Service','Lockfile'][CAST(e.n//1000000000000 AS INT)] END AS label, x.name, e.edges
+FROM (SELECT id, n, count(*) AS edges FROM (SELECT src AS id, dst AS n FROM pub WHERE src<>dst UNION ALL SELECT dst, src FROM pub WHERE src<>dst) GROUP BY 1,2) e LEFT JOIN nodes x ON x.id=e.n"""))
 def neighbours(g: Graph) -> DataFrame:
-    return S.neighbours(g).groupBy("id").agg(
-        F.count(F.lit(1)).alias("neighbours"), F.min("neighbour").alias("lowest"), F.max("neighbour").alias("highest")
-    )
+    return S.neighbours(g)
 
 
 @query("indegree_importance", sql("""

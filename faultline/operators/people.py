@@ -26,7 +26,8 @@ def maintained_packages(maintained_by: DataFrame, maintains: DataFrame | None =
     return owned.groupBy("maintainer_id", "package_id").agg(F.min("since").alias("since"))
 
 
-def _with_state(owned: DataFrame, packages: DataFrame, versions: DataFrame) -> DataFrame:
+def maintained_state(owned: DataFrame, packages: DataFrame, versions: DataFrame) -> DataFrame:
+    """Every package of every maintainer with its flags and first windowed release."""
     earliest = first_windowed(versions).select("package_id", F.col("semver").alias("window_release"), "published_at")
     return (
         owned.join(packages.select(F.col("id").alias("package_id"), "name", "is_compromised"), "package_id")
@@ -38,7 +39,7 @@ def _with_state(owned: DataFrame, packages: DataFrame, versions: DataFrame) -> D
 
 def network(owned: DataFrame, packages: DataFrame, versions: DataFrame) -> DataFrame:
     """Every package of every maintainer, the breached one included."""
-    return _with_state(owned, packages, versions).select(
+    return maintained_state(owned, packages, versions).select(
         "maintainer_id", "package_id", "name", "in_window", "flagged", "published_at", F.col("since").alias("maintained_since")
     )
 
@@ -73,7 +74,7 @@ def sisters(owned: DataFrame, packages: DataFrame, versions: DataFrame, epicentr
     every sister of every root and is meant for the incidents at hand. For all roots
     at once use :func:`sister_summary`.
     """
-    state = _with_state(owned, packages, versions)
+    state = maintained_state(owned, packages, versions)
     if epicentre is None:
         out = state.join(_sole_compromised(state), "maintainer_id", "left").where(
             F.col("_sole").isNull() | (F.col("package_id") != F.col("_sole"))
@@ -94,7 +95,7 @@ def sister_summary(owned: DataFrame, packages: DataFrame, versions: DataFrame, e
     the two earliest releases suffice to find the first that is not the epicentre's,
     so a maintainer of very many packages never yields root x sister pairs.
     """
-    state = _with_state(owned, packages, versions)
+    state = maintained_state(owned, packages, versions)
     counts = state.groupBy("maintainer_id").agg(
         F.count(F.lit(1)).alias("_all"), F.count_if("flagged").alias("_flagged"), F.count_if("in_window").alias("_window")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +11,54 @@ from faultline import schema as X
 from faultline.sources.binding import Graph
 
 
+#: Stored properties by label and edge type; sort keys and other derived index columns are none.
+NODE_PROPERTIES = {
+    X.PACKAGE: ("ecosystem", "downloads_weekly", "latest_version", "last_published_at", "is_compromised"),
+    X.VERSION: ("package_id", "package_name", "semver", "published_at", "compromised_window"),
+    X.MAINTAINER: (),
+    X.SERVICE: ("criticality",),
+    X.LOCKFILE: ("service_id", "generated_at"),
+}
+EDGE_PROPERTIES = {
+    X.DEPENDS_ON: ("constraint_",), X.MAINTAINED_BY: ("since",), X.RESOLVED_IN: ("resolved_version",),
+    X.TYPOSQUAT_OF: ("edit_distance", "similarity_score"),
+}
+INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def _with_properties(rows: DataFrame, properties: tuple[str, ...]) -> DataFrame:
+    """Adds ``properties``: JSON of those that are not null, with their types."""
+    text = F.to_json(F.struct(*properties), {"timestampNTZFormat": INSTANT, "timestampFormat": INSTANT}) if properties else F.lit("{}")
+    return rows.withColumn("properties", text)
+
+
 def label_scan(graph: Graph, label: str, limit: int | None = None) -> DataFrame:
-    """All nodes of one label with that label's fixed columns."""
-    out = {
-        X.PACKAGE: lambda: graph.package.select("id", "name", F.col("downloads_weekly").cast("string").alias("detail")),
-        X.VERSION: lambda: graph.version.select("id", "name", F.col("semver").alias("detail")),
-        X.MAINTAINER: lambda: graph.maintainer.select("id", "name", F.lit(None).cast("string").alias("detail")),
-        X.SERVICE: lambda: graph.service.select("id", "name", F.col("criticality").alias("detail")),
-        X.LOCKFILE: lambda: graph.lockfile.select("id", "name", F.col("service_id").cast("string").alias("detail")),
-    }[label]()
-    out = out.select(F.lit(label).alias("label"), *out.columns)
+    """All nodes of one label: label, id, name, every stored property in its own type, and all of them as JSON."""
+    table = {X.PACKAGE: graph.package, X.VERSION: graph.version, X.MAINTAINER: graph.maintainer, X.SERVICE: graph.service, X.LOCKFILE: graph.lockfile}[label]
+    out = _with_properties(table, NODE_PROPERTIES[label]).select(F.lit(label).alias("label"), "id", "name", *NODE_PROPERTIES[label], "properties")
     return out if limit is None else out.limit(limit)
 
 
+def node_rows(graph: Graph) -> DataFrame:
+    """All nodes as one relation; a property that a label lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [label_scan(graph, label) for label in X.LABELS])
+
+
 def edge_scan(graph: Graph, edge_type: str, limit: int | None = None) -> DataFrame:
-    out = graph.public_edges().where(F.col("type") == edge_type)
+    """All edges of one type: type, eid, src, dst, every stored property in its own type, and all of them as JSON."""
+    table = {X.DEPENDS_ON: graph.depends_on, X.MAINTAINED_BY: graph.maintained_by, X.RESOLVED_IN: graph.resolved_in, X.TYPOSQUAT_OF: graph.typosquat_of}[edge_type]
+    own = EDGE_PROPERTIES[edge_type]
+    out = _with_properties(table, own).select(
+        F.lit(edge_type).alias("type"), X.edge_id(edge_type, F.col("src"), F.col("dst")).alias("eid"), "src", "dst", *own, "properties"
+    )
     return out if limit is None else out.limit(limit)
 
 
+def edge_rows(graph: Graph) -> DataFrame:
+    """All edges of the public types as one relation."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [edge_scan(graph, kind) for kind in X.PUBLIC_EDGES])
+
+
 def node_lookup(graph: Graph, node_id: int) -> DataFrame:
     """One node by id; the id range selects the label, the filter reaches the scan."""
     for label in X.LABELS:
@@ -158,10 +190,13 @@ def direct_dependents(graph: Graph, targets: DataFrame) -> DataFrame:
 
 
 def neighbours(graph: Graph) -> DataFrame:
+    """(id, neighbour, label, name, edges): every node beside every node, named, with the edges that join them."""
     edges = graph.public_edges().where("src <> dst")
-    return edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour")).unionByName(
+    beside = edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour")).unionByName(
         edges.select(F.col("dst").alias("id"), F.col("src").alias("neighbour"))
-    ).distinct()
+    ).groupBy("id", "neighbour").agg(F.count(F.lit(1)).alias("edges"))
+    names = graph.nodes().select(F.col("id").alias("neighbour"), "name")
+    return beside.join(names, "neighbour", "left").select("id", "neighbour", graph.ids.label_of(F.col("neighbour")).alias("label"), "name", "edges")
 
 
 def importance(graph: Graph) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import semver as V
 from faultline.operators.ordering import rank_within
+from faultline.operators.sweep import greatest_below
 from faultline.session import Scratch
 
 
@@ -136,7 +137,8 @@ def safe_version(bad: DataFrame, versions: DataFrame) -> DataFrame:
         keys_of(bad, "bad_version", V.lenient_key).withColumnRenamed("key", "bad_key"), "bad_version", "left"
     )
     # a lenient key is stored as 0.0.0 for text without a version; such text is no candidate
-    keyed = with_key(versions, "lenient").where(V.lenient_key(F.col("semver")).isNotNull()).select(
+    readable = F.col("readable") if "readable" in versions.columns else V.lenient_key(F.col("semver")).isNotNull()
+    keyed = with_key(versions, "lenient").where(readable).select(
         "package_id", "semver", "id", "compromised_window", "published_at", F.col("lenient").alias("key")
     )
     below = F.col("key") < F.col("bad_key")
@@ -165,18 +167,27 @@ def safe_version(bad: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
-def max_satisfying(wanted: DataFrame, versions: DataFrame) -> DataFrame:
+def max_satisfying(wanted: DataFrame, versions: DataFrame, scratch: Scratch) -> DataFrame:
     """Highest release of ``package_id`` inside ``constraint_`` for every distinct pair.
 
-    Equal versions keep the lowest id; no match gives null.
+    Equal versions keep the lowest id; no match gives null. Each upper bound looks for the greatest
+    release below it in one sweep in version order, and, where the range admits prereleases of a
+    core, for the greatest of those in a second one.
     """
     asked = wanted.select("package_id", "constraint_").distinct()
-    intervals = asked.join(ranges_of(asked), "constraint_").select("package_id", "constraint_", F.explode("sets").alias("range"))
-    keyed = with_key(versions, "strict").select("package_id", "semver", "id", F.col("strict").alias("key"))
+    intervals = asked.join(ranges_of(asked), "constraint_").select("package_id", "constraint_", F.explode("sets").alias("s")).select(
+        "package_id", "constraint_", "s.low", F.col("s.high").alias("key"), "s.admits"
+    )
+    keyed = with_key(versions, "strict").where("strict IS NOT NULL").select(
+        "package_id", F.col("strict").alias("key"), F.struct(F.col("strict").alias("key"), (-F.col("id")).alias("id"), "semver").alias("value")
+    )
+    released = V.is_release(F.col("key"))
+    plain = greatest_below(intervals.drop("admits"), keyed.where(released), ["package_id"], "key", "value", scratch, "best")
+    early = keyed.where(~released).withColumn("core", V.same_core(F.col("key")))
+    admitting = intervals.withColumn("core", F.explode(F.array_distinct("admits"))).drop("admits")
+    admitted = greatest_below(admitting, early, ["package_id", "core"], "key", "value", scratch, "best").drop("core")
     best = (
-        intervals.join(keyed, "package_id")
-        .where(V.inside(F.col("key"), F.col("range")))
-        .groupBy("package_id", "constraint_")
-        .agg(F.max_by("semver", F.struct("key", -F.col("id"))).alias("semver"))
+        plain.unionByName(admitted).where(F.col("best")["key"] >= F.col("low"))
+        .groupBy("package_id", "constraint_").agg(F.max("best")["semver"].alias("semver"))
     )
     return asked.join(best, ["package_id", "constraint_"], "left")

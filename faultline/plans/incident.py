@@ -43,19 +43,24 @@ def risk_profile(roots: DataFrame, exposed: DataFrame, incidents: DataFrame, sis
     )
 
 
-def sister_event_each(sisters: DataFrame) -> DataFrame:
-    """One timeline row per sister release, for a chosen incident."""
-    return sisters.where("in_window").select(
-        "root", F.col("published_at").alias("at"),
+def sister_events(state: DataFrame) -> DataFrame:
+    """(maintainer_id, package_id, at, event): one row for each windowed package of each maintainer.
+
+    Stored once per maintainer: the timeline of a root refers to its maintainer, and the events of
+    the root are these rows without the root's own.
+    """
+    return state.where("in_window").select(
+        "maintainer_id", "package_id", F.col("published_at").alias("at"),
         F.concat(F.lit("sister release "), F.col("name"), F.lit("@"), F.col("window_release")).alias("event"),
     )
 
 
-def sister_event_first(summary: DataFrame) -> DataFrame:
-    """One timeline row per root for all its sister releases, for all roots at once."""
+def sister_reference(summary: DataFrame) -> DataFrame:
+    """(root, at, event, refers_to, stands_for): one timeline row per root for all its rows of :func:`sister_events`."""
     return summary.where("in_window > 0").select(
         "root", F.col("first_at").alias("at"),
         F.concat(F.col("in_window").cast("string"), F.lit(" sister releases inside the window, first "), F.col("first_release")).alias("event"),
+        F.col("maintainer_id").alias("refers_to"), F.col("in_window").alias("stands_for"),
     )
 
 
@@ -65,15 +70,16 @@ def timeline(
     versions: DataFrame,
     incidents: DataFrame,
     safe: DataFrame,
-    sister_events: DataFrame,
+    sisters: DataFrame,
     look_alikes: DataFrame,
     radius: DataFrame,
     detected_at: Column,
     scratch: Scratch,
 ) -> DataFrame:
-    """Ordered incident events (root, rank, at, kind, severity, event) for every root.
+    """Ordered incident events (root, rank, at, kind, severity, event, refers_to, stands_for) for every root.
 
-    ``sister_events`` (root, at, event) comes from one of the two functions above.
+    ``sisters`` comes from :func:`sister_reference`. ``refers_to`` names the maintainer whose
+    :func:`sister_events` a row stands for, and ``stands_for`` is the number of events: 1 for all other rows.
     """
     name = packages.select(F.col("id").alias("root"), F.col("name").alias("package"))
     releases = versions.where("compromised_window").select(F.col("package_id").alias("root"), "semver", "published_at").join(
@@ -81,9 +87,11 @@ def timeline(
     )
     spec = F.concat_ws("@", "package", "semver")
 
-    def events(df: DataFrame, at: Column, kind: str, severity: str, text: Column) -> DataFrame:
+    def events(df: DataFrame, at: Column, kind: str, severity: str, text: Column, refers_to: Column | None = None, stands_for: Column | None = None) -> DataFrame:
         return df.select(
-            "root", at.alias("at"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), text.alias("event")
+            "root", at.alias("at"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), text.alias("event"),
+            (F.lit(None) if refers_to is None else refers_to).cast("bigint").alias("refers_to"),
+            (F.lit(1) if stands_for is None else stands_for).cast("bigint").alias("stands_for"),
         )
 
     known_good = events(
@@ -92,7 +100,7 @@ def timeline(
     )
     opened = (
         releases.select("root", "published_at")
-        .unionByName(sister_events.select("root", F.col("at").alias("published_at")))
+        .unionByName(sisters.select("root", F.col("at").alias("published_at")))
         .groupBy("root")
         .agg(F.min("published_at").alias("first"))
     )
@@ -108,7 +116,7 @@ def timeline(
         releases.where("semver <> bad_version").join(name, "root"), F.col("published_at"), "publish", "high",
         F.concat(spec, F.lit(": also published inside the window")),
     )
-    sister = events(sister_events, F.col("at"), "sister", "high", F.col("event"))
+    sister = events(sisters, F.col("at"), "sister", "high", F.col("event"), F.col("refers_to"), F.col("stands_for"))
     look_alike = events(
         look_alikes.where("last_published_at IS NOT NULL").withColumnRenamed("package_id", "root").join(
             roots.select("root"), "root", "left_semi"
@@ -144,11 +152,11 @@ def incident_report(
     summary: DataFrame, safe: DataFrame, risk: DataFrame, events: DataFrame, primary: DataFrame
 ) -> DataFrame:
     """One row per root: exposure before and after refinement, safe version, risk."""
-    counted = events.groupBy("root").agg(F.count(F.lit(1)).alias("events"), F.max("rank").alias("_last"))
+    counted = events.groupBy("root").agg(F.sum("stands_for").alias("events"))
     return (
         summary.join(safe.select("root", "safe_version", "reason"), "root", "left")
         .join(risk.select("root", "score", "band", "flagged", "sisters", "look_alikes"), "root", "left")
-        .join(counted.select("root", "events"), "root", "left")
+        .join(counted, "root", "left")
         .join(primary.select(F.col("package_id").alias("root"), "maintainer_id"), "root", "left")
         .withColumn("severity", R.exposure_severity(F.col("percentage"), F.col("tier1_exposed")))
     )

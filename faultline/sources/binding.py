@@ -149,8 +149,10 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
                 & (F.col("published_at") < F.lit(WINDOW_CLOSES).cast("timestamp_ntz"))
             ).alias("compromised_window"),
             V.strict_key(F.col("semver")).alias("strict"),
-            F.coalesce(V.lenient_key(F.col("semver")), V.lenient_key(F.lit("0.0.0"))).alias("lenient"),
+            V.lenient_key(F.col("semver")).alias("lenient"),
         )
+        .withColumn("readable", F.col("lenient").isNotNull())
+        .withColumn("lenient", F.coalesce("lenient", V.lenient_key(F.lit("0.0.0"))))
         .join(package_base.select(F.col("id").alias("package_id"), F.col("name").alias("package_name")), "package_id", "left")
         .withColumn("name", F.concat_ws("@", "package_name", "semver")),
         "version",

@@ -1,9 +1,11 @@
 """Advisory sweep as a stream.
 
-State only grows: every batch writes its advisories, the versions it raised and one
-delta row under its own batch number. A replayed batch overwrites its own folders
-and nothing else, and the current state is the aggregate over all batches, so no
-table is ever rewritten.
+What was seen before is known to the stream itself: it drops repeated advisory rows by a state
+store, so a batch brings only new ones. Every batch writes its advisories, the versions it raised
+and one delta row as runs under its own number; a replayed batch overwrites its own runs and
+nothing else. After ``compact_every`` batches all runs are merged into one, sorted by package, and a
+pointer names it. The pointer is one file, written last. So a batch reads one merged run and a
+bounded number of small ones however many batches went before, and no file is ever changed.
 """
 
 from __future__ import annotations
@@ -15,12 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators.advisories import affected_versions, apply_advisories
+from faultline.session import Scratch
 from faultline.sources import osv
 
 DROP = "package_id bigint, id string, malicious boolean, affected_versions array<string>, ranges array<struct<introduced:string,fixed:string>>"
 RAISED = "id bigint, package_id bigint"
 DELTA = "packages bigint, advisories bigint, malicious bigint, newly_flagged bigint, newly_windowed bigint"
+STATE = {"advisories": DROP, "raised": RAISED, "delta": DELTA}
 INTERVAL = "900 seconds"
+COMPACT_EVERY = 16
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
@@ -36,39 +42,64 @@ class Sweep:
     packages: DataFrame
     versions: DataFrame
 
+    compact_every: int = COMPACT_EVERY
+
     def prepare(self) -> "Sweep":
-        for name, schema in (("advisories", DROP), ("raised", RAISED), ("delta", DELTA)):
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.folder}/{name}/batch=-1")
+        for name, schema in STATE.items():
+            self.spark.createDataFrame([], f"{schema}, batch bigint").write.mode("ignore").parquet(f"{self.folder}/{name}/merged=-1")
+        self._mark("merged/upto=-1", "ignore")
+        self._mark("done/batch=-1", "ignore")
         return self
 
-    def _state(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.folder}/{name}")
+    def merged_upto(self) -> int:
+        """The last batch that the merged run holds, by the pointer."""
+        return self._highest("merged", "upto")
 
-    def _before(self, name: str, schema: str, batch: int) -> DataFrame:
-        return self._state(name, schema).where(F.col("batch") < batch).drop("batch")
+    def last_batch(self) -> int:
+        return self._highest("done", "batch")
 
-    def matched(self, records: DataFrame) -> DataFrame:
-        """Advisory rows for tracked packages."""
-        tracked = self.packages.select(F.col("id").alias("package_id"), F.col("name").alias("package"), "ecosystem")
-        return (
-            osv.advisories_of(records)
-            .join(tracked, ["ecosystem", "package"])
-            .select("package_id", "id", "malicious", "affected_versions", "ranges")
-            .dropDuplicates(["package_id", "id"])
-        )
+    def _mark(self, name: str, mode: str = "overwrite") -> None:
+        self.spark.createDataFrame([(1,)], "x bigint").coalesce(1).write.mode(mode).parquet(f"{self.folder}/{name}")
 
-    def on_batch(self, records: DataFrame, batch: int) -> None:
-        """Handle one micro-batch; safe to repeat."""
-        drop = f"{self.folder}/advisories/batch={batch}"
-        self.matched(records).write.mode("overwrite").parquet(drop)
-        fresh = self.spark.read.schema(DROP).parquet(drop)
-        earlier = self._before("advisories", DROP, batch)
-        raised = self._before("raised", RAISED, batch)
+    def _highest(self, name: str, key: str) -> int:
+        """The highest of the numbers in folder names; a folder appears when its file is complete."""
+        found = self.spark.read.schema(f"x bigint, {key} bigint").parquet(f"{self.folder}/{name}").agg(F.max(key)).first()[0]
+        return -1 if found is None else found
 
-        quiet = self.versions.where("NOT coalesce(compromised_window, false)")
-        window = affected_versions(quiet, fresh).select("id", "package_id").join(raised.select("id"), "id", "left_anti")
-        window_path = f"{self.folder}/raised/batch={batch}"
-        window.write.mode("overwrite").parquet(window_path)
+    def _state(self, name: str, before: int | None = None) -> DataFrame:
+        """All rows of a table, or those of earlier batches: the merged run and the runs after it."""
+        upto = self.merged_upto()
+        last = self.last_batch() if before is None else before - 1
+        schema = f"{STATE[name]}, batch bigint"
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/merged={upto}")
+        runs = [f"{self.folder}/{name}/run={n}" for n in range(upto + 1, last + 1)]
+        return rows.unionByName(self.spark.read.schema(schema).parquet(*runs)) if runs else rows
+
+    def _run(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
+        path = f"{self.folder}/{name}/run={batch}"
+        rows.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(STATE[name]).parquet(path)
+
+    def matched(self, records: DataFrame) -> DataFrame:
+        """Advisory rows for tracked packages, each once; records may be a stream."""
+        tracked = self.packages.select(F.col("id").alias("package_id"), F.col("name").alias("package"), "ecosystem")
+        found = osv.advisories_of(records).join(tracked, ["ecosystem", "package"]).select("package_id", "id", "malicious", "affected_versions", "ranges")
+        # an advisory that comes again with other contents is new
+        return found.withColumn("_contents", F.xxhash64("malicious", "affected_versions", "ranges")).dropDuplicates(["package_id", "id", "_contents"]).drop("_contents")
+
+    def on_batch(self, rows: DataFrame, batch: int) -> None:
+        """Handle the new rows of one micro-batch; safe to repeat."""
+        if batch <= self.merged_upto():
+            return  # complete, and merged since
+        scratch = Scratch(self.spark, f"sweep-{batch}")
+        fresh = self._run("advisories", rows, batch)
+        named = scratch.keep(fresh.select("package_id").distinct(), "named")
+        # state and releases of the packages that this batch names
+        earlier = self._state("advisories", batch).join(named, "package_id", "left_semi")
+        raised = self._state("raised", batch).join(named, "package_id", "left_semi")
+        quiet = self.versions.where("NOT coalesce(compromised_window, false)").join(named, "package_id", "left_semi")
+        window = affected_versions(quiet, fresh, scratch).select("id", "package_id").join(raised.select("id"), "id", "left_anti")
+        opened = self._run("raised", window, batch)
 
         flagged_before = earlier.where("malicious").select("package_id").unionByName(
             self.packages.where("is_compromised").select(F.col("id").alias("package_id"))
@@ -76,20 +107,31 @@ class Sweep:
         flagged = fresh.where("malicious").select("package_id").distinct().join(flagged_before, "package_id", "left_anti")
         delta = fresh.agg(
             F.count_distinct("package_id").alias("packages"),
-            F.count(F.lit(1)).alias("advisories"),
-            F.count_if("malicious").alias("malicious"),
+            F.count_distinct("package_id", "id").alias("advisories"),
+            F.count_distinct(F.when(F.col("malicious"), F.struct("package_id", "id"))).alias("malicious"),
         ).select(
             "packages", "advisories", "malicious",
             flagged.agg(F.count(F.lit(1))).scalar().alias("newly_flagged"),
-            self.spark.read.schema(RAISED).parquet(window_path).agg(F.count(F.lit(1))).scalar().alias("newly_windowed"),
+            opened.agg(F.count(F.lit(1))).scalar().alias("newly_windowed"),
         )
-        delta.write.mode("overwrite").parquet(f"{self.folder}/delta/batch={batch}")
+        self._run("delta", delta, batch)
+        self._mark(f"done/batch={batch}")
+        if batch - self.merged_upto() >= self.compact_every:
+            self.compact(batch)
+
+    def compact(self, upto: int) -> None:
+        """Merge all runs up to a batch into one, then turn the pointer; runs stay for whoever reads them still."""
+        for name in STATE:
+            order = "package_id" if name != "delta" else "batch"
+            merged = self._state(name, upto + 1).repartitionByRange(order).sortWithinPartitions(order)
+            merged.write.mode("overwrite").parquet(f"{self.folder}/{name}/merged={upto}")
+        self._mark(f"merged/upto={upto}")
 
     def deltas(self) -> DataFrame:
-        return self._state("delta", DELTA).where("batch >= 0")
+        return self._state("delta").where("batch >= 0")
 
     def raised(self) -> DataFrame:
-        return self._state("raised", RAISED).select("id", "package_id").distinct()
+        return self._state("raised").select("id", "package_id").distinct()
 
     def current(self) -> DataFrame:
         """Package state after all batches: flags, risk and advisory counts.
@@ -97,16 +139,17 @@ class Sweep:
         The risk depends only on the set of known advisory ids, so one aggregation
         over all of them equals applying them batch by batch.
         """
-        known = self._state("advisories", DROP).drop("batch")
+        known = self._state("advisories").drop("batch")
         none = self.spark.createDataFrame([], "package_id bigint, advisory_id string")
-        return apply_advisories(self.packages, none, self.versions, known).packages
+        return apply_advisories(self.packages, none, self.versions, known, Scratch(self.spark, "sweep-state")).packages
 
     def _started(self, source: str, files_per_batch: int):
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         records = (
             self.spark.readStream.schema(osv.RECORD).option("maxFilesPerTrigger", files_per_batch).json(source)
         )
         return (
-            records.writeStream.foreachBatch(self.on_batch)
+            self.matched(records).writeStream.foreachBatch(self.on_batch)
             .option("checkpointLocation", f"{self.folder}/checkpoint")
             .queryName("advisory_sweep")
         )

@@ -53,6 +53,34 @@ def cyclic():
     return pairs + [(i, 0) for i in range(1, 30)]  # node 0 is a hub
 
 
+@pytest.mark.parametrize("hot_rows", [2_000_000, 4])
+def test_unbounded_reach_equals_breadth_first_search(spark, scratch, cyclic, hot_rows):
+    chain = cyclic + [(100 + i + 1, 100 + i) for i in range(30)]  # far beyond any bound
+    edges = edge_set(spark, scratch, chain, hot_rows)
+    roots = spark.createDataFrame([(r,) for r in (0, 3, 7, 100, 999)], "root bigint")
+    got = {}
+    for row in C.reach_all(edges, roots, scratch).collect():
+        got.setdefault(row.root, {})[row.node] = row.depth
+    assert got == {r: w for r in (0, 3, 7, 100, 999) if (w := walk(chain, r, 100))}
+    assert not spark.catalog.listTables()
+
+
+def test_a_hop_shuffles_the_frontier_alone(spark, scratch):
+    known = C.Grown(scratch, "root bigint, node bigint, depth int", ["root", "node"], "known")
+    for hop in (1, 2):
+        known.append(spark.range(500).select(F.col("id").alias("root"), (F.col("id") * hop).alias("node"), F.lit(hop).alias("depth")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = scratch.keep(spark.range(500).select(F.col("id").alias("root"), (F.col("id") * 3).alias("node")), "frontier").distinct()
+        fresh = found.join(known.read().select("root", "node"), ["root", "node"], "left_anti")
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+        assert fresh.count() == 499
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        known.release()
+
+
 @pytest.mark.parametrize("hot_rows", [2_000_000, 4])
 def test_reach_equals_breadth_first_search(spark, scratch, cyclic, hot_rows):
     edges = edge_set(spark, scratch, cyclic, hot_rows)

@@ -10,6 +10,7 @@ from faultline.operators import advisories as A
 from faultline.operators import remediation as M
 from faultline.operators import upsert as U
 from faultline.operators.expectations import check
+from faultline.operators.store import Buckets, Commits, Part
 from faultline.plans import ingest as P
 from faultline.session import Scratch
 from faultline.sources import lockfiles as L
@@ -59,27 +60,27 @@ def _advisory_rows(spark, rows):
     return spark.createDataFrame(rows, "id string, package_id bigint, malicious boolean, affected_versions array<string>, ranges array<struct<introduced:string,fixed:string>>")
 
 
-def test_affected_versions(spark):
+def test_affected_versions(spark, scratch):
     versions = spark.createDataFrame(
         [(1, 10, "1.0.0", False), (2, 10, "1.5.0", False), (3, 10, "1.5.0-rc.1", False), (4, 10, "2.0.0", True), (5, 11, "1.0.0", False), (6, 10, "weird", False)],
         "id bigint, package_id bigint, semver string, compromised_window boolean",
     )
     advisories = _advisory_rows(spark, [("G1", 10, False, ["weird"], [("1.1.0", "2.0.0")]), ("G2", 10, False, [], [(None, "1.0.1")]), ("G3", 11, False, [], [("junk", None)])])
-    assert {r.id for r in A.affected_versions(versions, advisories).collect()} == {1, 2, 6}
+    assert {r.id for r in A.affected_versions(versions, advisories, scratch).collect()} == {1, 2, 6}
 
 
-def test_applying_advisories_bumps_caps_and_flags_once(spark):
+def test_applying_advisories_bumps_caps_and_flags_once(spark, scratch):
     packages = spark.createDataFrame([(1, False, 0.05), (2, False, None), (3, True, 1.0), (4, False, 0.85), (5, False, 0.05)], "id bigint, is_compromised boolean, risk_score double")
     versions = spark.createDataFrame([(20, 1, "1.0.0", False)], "id bigint, package_id bigint, semver string, compromised_window boolean")
     none = spark.createDataFrame([], "package_id bigint, advisory_id string")
     rows = [("GHSA-1", 1, False, [], [("0", None)]), ("GHSA-2", 1, False, [], []), ("MAL-1", 2, False, ["9.9.9"], []), ("MAL-2", 3, True, [], []), ("GHSA-3", 4, False, [], []), ("GHSA-4", 99, False, [], [])]
-    done = A.apply_advisories(packages, none, versions, _advisory_rows(spark, rows))
+    done = A.apply_advisories(packages, none, versions, _advisory_rows(spark, rows), scratch)
     got = {r.id: (r.risk_score, r.is_compromised, r.newly_flagged, r.new_ids) for r in done.packages.collect()}
     assert got == {1: (0.35, False, False, 2), 2: (1.0, True, True, 1), 3: (1.0, True, False, 1), 4: (0.9, False, False, 1)}
     assert [r.id for r in done.windowed.collect()] == [20]
     assert [(r.package_id, r.semver) for r in done.malicious_releases.collect()] == [(2, "9.9.9")]
     state = packages.join(done.packages.select("id", F.col("risk_score").alias("r"), F.col("is_compromised").alias("c")), "id").select("id", F.col("c").alias("is_compromised"), F.col("r").alias("risk_score"))
-    again = A.apply_advisories(state, done.links, versions, _advisory_rows(spark, rows))
+    again = A.apply_advisories(state, done.links, versions, _advisory_rows(spark, rows), scratch)
     assert {r.id: r.risk_score for r in again.packages.collect()} == {1: 0.35, 2: 1.0, 3: 1.0, 4: 0.9}
     assert again.packages.where("newly_flagged OR new_ids > 0").count() == 0
 
@@ -176,10 +177,26 @@ def test_ingest_twice_changes_nothing(spark, scratch):
         assert table.exceptAll(other).count() == 0 and other.exceptAll(table).count() == 0, name
 
 
-def test_store_round_trip(spark, tmp_path):
-    store = P.Store.empty(spark)
-    store.save(str(tmp_path / "s"))
-    assert P.Store.load(spark, str(tmp_path / "s")).nodes[X.PACKAGE].columns == store.nodes[X.PACKAGE].columns
+def test_store_keeps_untouched_buckets(spark, tmp_path):
+    rows = spark.range(2000).select("id", F.concat(F.lit("k"), "id").alias("key"), F.lit("old").alias("name"), F.lit(None).cast("string").alias("email"))
+    table = Buckets(spark, P.NODE_COLUMNS[X.MAINTAINER], "key", 16)
+    first = table.rewritten(rows, table.touched(rows), str(tmp_path / "one"))
+    assert len(first.folders) == 16 and first.read().count() == 2000
+    change = spark.createDataFrame([(7, "k7", "new")], "id bigint, key string, name string")
+    part = Part(first, change)
+    part.rows = U.upsert_nodes(part.rows, change, F.lit(0))
+    second = part.written(str(tmp_path / "two"))
+    moved = [b for b in range(16) if second.folders[b] != first.folders[b]]
+    assert len(moved) == 1 and second.read().count() == 2000
+    assert {(r.key, r.name) for r in second.read().where("name = 'new'").collect()} == {("k7", "new")}
+    assert {r.key for r in part.whole().collect()} == {r.key for r in rows.collect()}
+    commits = Commits(spark, str(tmp_path / "log"))
+    commits.begin()
+    assert commits.latest() == -1
+    commits.write(4, -1, {X.MAINTAINER: second}, {X.MAINTAINER: 2000})
+    commits.begin()
+    assert (commits.latest(), commits.latest(before=4)) == (4, -1)
+    assert commits.read(4) == ({X.MAINTAINER: second.folders}, {X.MAINTAINER: 2000})
 
 
 def test_snapshot_manifest(spark, tmp_path):
@@ -193,9 +210,9 @@ def test_sweep_is_idempotent_and_monotone(spark, tmp_path):
     versions = spark.createDataFrame([(10, 1, "1.1.0", False), (20, 2, "2.5.0", False)], "id bigint, package_id bigint, semver string, compromised_window boolean")
     sweep = Sweep(spark, str(tmp_path / "state"), packages, versions).prepare()
     mild = {"id": "GHSA-9", "affected": [{"package": {"name": "a", "ecosystem": "npm"}, "ranges": []}]}
-    sweep.on_batch(records(spark, ADVISORY), 0)
-    sweep.on_batch(records(spark, ADVISORY), 0)  # replay
-    sweep.on_batch(records(spark, ADVISORY, mild), 1)  # seen before, plus one new
+    sweep.on_batch(sweep.matched(records(spark, ADVISORY)), 0)
+    sweep.on_batch(sweep.matched(records(spark, ADVISORY)), 0)  # replay
+    sweep.on_batch(sweep.matched(records(spark, ADVISORY, mild)), 1)  # seen before, plus one new
     state = {r.id: (r.is_compromised, r.risk_score, r.new_ids) for r in sweep.current().collect()}
     assert state == {1: (True, 1.0, 2), 2: (True, 1.0, 1)}
     deltas = {r.batch: (r.advisories, r.newly_flagged, r.newly_windowed) for r in sweep.deltas().collect()}
@@ -207,25 +224,83 @@ def test_sweep_is_idempotent_and_monotone(spark, tmp_path):
 
 def test_sweep_resumes_from_files(spark, tmp_path):
     packages = spark.createDataFrame([(1, "a", "npm", False, 0.05)], "id bigint, name string, ecosystem string, is_compromised boolean, risk_score double")
-    versions = spark.createDataFrame([(10, 1, "1.1.0", False)], "id bigint, package_id bigint, semver string, compromised_window boolean")
+    versions = spark.createDataFrame([(10, 1, "1.1.0", False), (11, 1, "7.0.0", False)], "id bigint, package_id bigint, semver string, compromised_window boolean")
     drop = tmp_path / "drop"
     drop.mkdir()
-    sweep = Sweep(spark, str(tmp_path / "state"), packages, versions).prepare()
-    (drop / "1.json").write_text(json.dumps(ADVISORY))
-    sweep.run_once(str(drop))
-    (drop / "2.json").write_text(json.dumps({**ADVISORY, "id": "GHSA-2"}))
-    sweep.run_once(str(drop))
-    assert sweep.deltas().count() == 2 and sweep.current().first().new_ids == 2
+    sweep = Sweep(spark, str(tmp_path / "state"), packages, versions, compact_every=2).prepare()
+    wider = {**ADVISORY, "affected": [{"package": {"name": "a", "ecosystem": "npm"}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "7.0.0"}]}]}]}
+    # the second file repeats the first; the fourth has the same id with other contents
+    for n, record in enumerate((ADVISORY, ADVISORY, {**ADVISORY, "id": "GHSA-2"}, wider, ADVISORY)):
+        (drop / f"{n}.json").write_text(json.dumps(record))
+        Sweep(spark, str(tmp_path / "state"), packages, versions, compact_every=2).prepare().run_once(str(drop))
+    told = [(r.advisories, r.newly_flagged, r.newly_windowed) for r in sweep.deltas().where("advisories > 0").orderBy("batch").collect()]
+    assert told == [(1, 1, 1), (1, 0, 0), (1, 0, 1)]  # repeats never reach a batch
+    assert sweep.current().first().new_ids == 2 and {r.id for r in sweep.raised().collect()} == {10, 11}
+    # batches are merged: only the runs after the pointer are read
+    assert sweep.merged_upto() >= sweep.last_batch() - 2 and sweep.merged_upto() >= 1
+    before = (sweep.deltas().count(), sweep.raised().count())
+    sweep.compact(sweep.last_batch())
+    assert (sweep.deltas().count(), sweep.raised().count()) == before and sweep.merged_upto() == sweep.last_batch()
+    sweep.on_batch(sweep.matched(records(spark, ADVISORY)), sweep.last_batch())  # a replay of a merged batch
+    assert (sweep.deltas().count(), sweep.raised().count()) == before
+
+
+def _put(root, path, text):
+    target = root / path
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(text)
 
 
 def test_rescan_quarantines_and_accumulates(spark, tmp_path):
     documents, metadata, advisories = _inputs(spark)
-    source = str(tmp_path / "packed")
-    documents.where("doc <> 'y'").write.parquet(source)
-    job = Rescan(spark, str(tmp_path / "state"), metadata, advisories, IDS).prepare()
-    job.run_once(source)
-    documents.where("doc = 'y'").write.mode("append").parquet(source)
-    store = job.snapshot(job.run_once(source))
-    assert {r.name for r in store.nodes[X.SERVICE].collect()} == {"org/one", "org/two"}
+    root = tmp_path / "tree"
+    job = Rescan(spark, str(tmp_path / "state"), metadata, advisories, IDS, buckets=32).prepare()
+    for row in documents.where("doc <> 'y'").collect():
+        _put(root, f"{row.repo.replace('/', '-')}/r1/{row.path}", row.text)
+        if row.manifest:
+            _put(root, f"{row.repo.replace('/', '-')}/r1/package.json", row.manifest)
+    _put(root, "org-two/r1/other/yarn.lock", "<html>\n")
+    _put(root, "org-two/r1/node_modules/x/yarn.lock", "skipped")
+    first = job.run_once(str(root))
+    assert job.run_once(str(root)) == first  # nothing new
+    y = documents.where("doc = 'y'").first()
+    _put(root, f"org-two/r2/{y.path}", y.text)
+    again = Rescan(spark, str(tmp_path / "state"), metadata, advisories, IDS, buckets=32).prepare()
+    second = again.run_once(str(root))
+    assert second > first
+    _put(root, "org-two/r2/package.json", y.manifest)  # comes after its lockfile
+    third = again.run_once(str(root))
+    assert third > second and again.run_once(str(root)) == third
+    store = again.snapshot(third)
+    assert {r.name: r.commit_hash for r in store.nodes[X.LOCKFILE].collect()} == {"org-one/package-lock.json": "r1", "org-two/yarn.lock": "r2"}
+    assert {r.name for r in store.nodes[X.SERVICE].collect()} == {"org-one", "org-two"}
     assert {r.name for r in store.nodes[X.PACKAGE].collect()} == {"a", "b", "c", "@s/x", "@s/y", "d", "e"}
-    assert [r.doc for r in job.quarantined().collect()] == ["bad"]
+    assert {(r.doc, r.reason) for r in again.quarantined().collect()} == {("org-two/web/package-lock.json", "not a JSON object"), ("org-two/other/yarn.lock", "no entries")}
+    # the last batch read one folder: buckets without its keys are those of earlier versions
+    before, after = again.snapshot(second), store
+    kept = [b for b, folder in before.parts[X.VERSION].folders.items() if after.parts[X.VERSION].folders[b] == folder]
+    assert kept and any(folder not in before.parts[X.VERSION].folders.values() for folder in after.parts[X.VERSION].folders.values())
+
+
+def test_rescan_ends_where_a_single_ingest_ends(spark, scratch, tmp_path):
+    documents, metadata, advisories = _inputs(spark)
+    root = tmp_path / "tree"
+    job = Rescan(spark, str(tmp_path / "state"), metadata, advisories, IDS).prepare()
+    last = -1
+    for row in documents.where("doc <> 'bad'").orderBy("doc").collect():
+        _put(root, f"{row.repo.replace('/', '-')}/r1/{row.path}", row.text)
+        _put(root, f"{row.repo.replace('/', '-')}/r1/package.json", row.manifest)
+        last = job.run_once(str(root))
+    good = documents.where("doc <> 'bad'").withColumn("repo", F.replace("repo", F.lit("/"), F.lit("-")))
+    scan = P.Scan(
+        good.select("repo").distinct().select("repo", F.lit(None).cast("string").alias("repo_url"), F.lit("r1").alias("commit_hash")),
+        good.select("doc", "repo", "path", L.kind_of(F.col("path")).alias("kind")), L.parse_documents(good, scratch),
+    )
+    whole, _ = P.ingest(P.Store.empty(spark), scan, metadata, advisories, IDS, scratch)
+    stepwise = job.snapshot(last)
+    for name, column in [(label, "name") for label in P.NODE_COLUMNS]:
+        rest = [c for c in whole.parts[name].read().columns if c not in ("id", "package_id", "service_id")]
+        assert sorted(map(tuple, stepwise.parts[name].read().select(*rest).collect()), key=repr) == sorted(map(tuple, whole.parts[name].read().select(*rest).collect()), key=repr), name
+    for kind in P.EDGE_COLUMNS:
+        rest = [c for c in whole.parts[kind].read().columns if c not in ("eid", "src", "dst")]
+        assert sorted(map(tuple, stepwise.parts[kind].read().select(*rest).collect()), key=repr) == sorted(map(tuple, whole.parts[kind].read().select(*rest).collect()), key=repr), kind

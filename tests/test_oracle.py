@@ -16,7 +16,8 @@ HOT = {
 }
 ON_HOT_KEYS = (
     "closure_depth6 routes blast_radius refined_closure refined_blast version_history max_satisfying safe_version maintainer_risk "
-    "timeline incident_report remediation_plan override_merge advisory_match apply_advisories lock_npm lock_yarn lock_pnpm ingest_report"
+    "timeline incident_report remediation_plan override_merge advisory_match apply_advisories lock_npm lock_npm_v1 lock_yarn lock_pnpm "
+    "dev_reachability transitive_depth ingest_report ingest_packages rescan_stream"
 ).split()
 
 

@@ -142,12 +142,12 @@ def test_safe_version_without_candidates(spark):
     assert got == {10: "all_windowed", 11: "unrecorded"}
 
 
-def test_max_satisfying_ties_and_misses(spark):
+def test_max_satisfying_ties_and_misses(spark, scratch):
     versions = spark.createDataFrame(
         [(1, 10, "v1.2.0"), (2, 10, "1.2.0"), (3, 10, "1.3.0-rc.1"), (4, 10, "bad"), (5, 10, "2.0.0")], "id bigint, package_id bigint, semver string"
     )
     asked = spark.createDataFrame([(10, "^1.0.0"), (10, "^1.3.0-0"), (10, "^5"), (10, "nope"), (10, "")], "package_id bigint, constraint_ string")
-    got = {r.constraint_: r.semver for r in N.max_satisfying(asked, versions).collect()}
+    got = {r.constraint_: r.semver for r in N.max_satisfying(asked, versions, scratch).collect()}
     assert got == {"^1.0.0": "v1.2.0", "^1.3.0-0": "1.3.0-rc.1", "^5": None, "nope": None, "": "2.0.0"}
 
 
