@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from faultline.operators.ordering import number_rows
@@ -86,19 +86,25 @@ def reach(
 
 
 class Grown:
-    """A table in hash buckets of its keys that only grows; joins on the keys move the other side alone."""
+    """A table in hash buckets of its keys that only grows; joins on the keys move the other side alone.
+
+    The last column tells the appends apart, each has a folder of its own.
+    """
 
     def __init__(self, scratch: Scratch, schema: str, keys: list[str], label: str):
-        self.spark, self.keys = scratch.spark, keys
+        self.spark, self.keys, self.part = scratch.spark, keys, schema.split(",")[-1].split()[0]
         self.count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"{label}_{uuid.uuid4().hex}"
         self.path = scratch.path(label)
         self.append(self.spark.createDataFrame([], schema))
 
-    def append(self, rows: DataFrame) -> None:
-        # one file for each bucket and append
-        placed = rows.repartition(self.count, *self.keys)
-        placed.write.mode("append").format("parquet").bucketBy(self.count, *self.keys).option("path", self.path).saveAsTable(self.name)
+    def append(self, rows: DataFrame) -> int:
+        """The number of rows; one file is written for each bucket."""
+        seen = Observation()
+        placed = rows.repartition(self.count, *self.keys).observe(seen, F.count(F.lit(1)).alias("n"))
+        into = placed.write.mode("append").format("parquet").partitionBy(self.part).bucketBy(self.count, *self.keys)
+        into.option("path", self.path).saveAsTable(self.name)
+        return int(seen.get["n"])
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -124,21 +130,20 @@ def reach_all(edges: SplitEdges, roots: DataFrame, scratch: Scratch, *, target:
         return df.join(ids.select(F.col("name").alias(column), F.col("id").alias("_id")), column).drop(column).withColumnRenamed("_id", column)
 
     arcs = numbered(numbered(edges.edges.select(F.col(edges.key).alias("_from"), F.col(target).alias("_to")).distinct(), "_from"), "_to")
-    by_start = Grown(scratch, "_from bigint, _to bigint", ["_from"], "arcs")
-    by_start.append(arcs.select("_from", "_to"))
+    by_start = Grown(scratch, "_from bigint, _to bigint, _set int", ["_from"], "arcs")
+    by_start.append(arcs.select("_from", "_to", F.lit(0).alias("_set")))
+    # the root itself counts as known, at no distance
     known = Grown(scratch, "root bigint, node bigint, depth int", ["root", "node"], "known")
-    level = scratch.keep(numbered(roots.select("root").distinct(), "root").select("root", F.col("root").alias("node")), "frontier")
+    rows = known.append(numbered(roots.select("root").distinct(), "root").select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     hop = 0
-    while True:
+    while rows:
         hop += 1
-        steps = level.join(by_start.read(), F.col("node") == F.col("_from")).select("root", F.col("_to").alias("node"))
-        found = steps.where("node <> root").distinct().join(known.read().select("root", "node"), ["root", "node"], "left_anti")
-        level, rows = scratch.keep_counted(found, f"hop{hop}")
-        if rows == 0:
-            break
-        known.append(level.withColumn("depth", F.lit(hop)))
+        level = known.read().where(F.col("depth") == hop - 1)
+        steps = level.join(by_start.read(), F.col("node") == F.col("_from")).select("root", F.col("_to").alias("node")).distinct()
+        found = steps.join(known.read().select("root", "node"), ["root", "node"], "left_anti")
+        rows = known.append(found.withColumn("depth", F.lit(hop)))
     by_start.release()
-    back = known.release()
+    back = known.release().where("depth > 0")
     out = back.join(ids.select(F.col("id").alias("root"), F.col("name").alias("_root")), "root")
     out = out.join(ids.select(F.col("id").alias("node"), F.col("name").alias("_node")), "node")
     return out.select(F.col("_root").alias("root"), F.col("_node").alias("node"), "depth")

@@ -280,12 +280,25 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
     )
 
 
-_OPEN: dict[tuple[str, str], Graph] = {}
+SOURCES = ("part", "customer", "orders", "lineitem", "supplier", "events", "pages")
+_OPEN: dict[tuple[str, str], tuple[tuple, Graph]] = {}
+
+
+def _state_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length and time of every source table, by Spark's own file system."""
+    out = []
+    for name in SOURCES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path):
+            out.append((name, files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime()))
+    return tuple(out)
 
 
 def graph_for(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of a data set, written on first use in a session."""
+    """The graph of a data set, written on first use in a session and anew when a source table has changed."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _OPEN:
-        _OPEN[key] = bind(spark, key[1])
-    return _OPEN[key]
+    state = _state_of(spark, key[1])
+    if key not in _OPEN or _OPEN[key][0] != state:
+        _OPEN[key] = (state, bind(spark, key[1]))
+    return _OPEN[key][1]

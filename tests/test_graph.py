@@ -11,6 +11,7 @@ from faultline.operators import precision as P
 from faultline.operators import routes as R
 from faultline.operators.ordering import number_rows, rank_within
 from faultline.operators.skew import split_hot
+from faultline.sources import binding
 
 IDS = X.IdSpace()
 
@@ -238,3 +239,12 @@ def test_labels_and_edge_ids(spark):
     want = int.from_bytes(hashlib.sha1(b"DEPENDS_ON|1|2").digest()[:8], "big") >> 2
     one = spark.createDataFrame([(1, 2)], "s bigint, d bigint")
     assert one.select(X.edge_id("DEPENDS_ON", F.col("s"), F.col("d"))).first()[0] == want
+
+
+def test_changed_source_tables_are_noticed(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.range(3).write.parquet(f"{folder}/part.parquet")
+    first = binding._state_of(spark, folder)
+    assert first == binding._state_of(spark, folder) and [name for name, *_ in first] == ["part"]
+    spark.range(30).write.mode("overwrite").parquet(f"{folder}/part.parquet")
+    assert binding._state_of(spark, folder) != first
