@@ -304,3 +304,12 @@ def test_rescan_ends_where_a_single_ingest_ends(spark, scratch, tmp_path):
     for kind in P.EDGE_COLUMNS:
         rest = [c for c in whole.parts[kind].read().columns if c not in ("eid", "src", "dst")]
         assert sorted(map(tuple, stepwise.parts[kind].read().select(*rest).collect()), key=repr) == sorted(map(tuple, whole.parts[kind].read().select(*rest).collect()), key=repr), kind
+
+
+def test_a_larger_tree_comes_in_larger_batches():
+    from faultline.catalog.streams import BATCHES, MOST_FILES, files_per_batch
+
+    assert files_per_batch(10) == files_per_batch(8_000) == 4_000
+    for files in (60_000, 360_000, 400_000):
+        assert -(-files // files_per_batch(files)) <= BATCHES
+    assert files_per_batch(10**8) == MOST_FILES
