@@ -114,3 +114,11 @@ def test_odd_rows(spark, odd_rows):
         nothing_after = stage(spark, nothing, SMALL)
         assert nothing_after.count() == 0
         nothing = documents(spark, [])
+
+
+def test_near_duplicates_come_through_the_fingerprint_operator(spark, monkeypatch):
+    asked = []
+    operator = P.simhash.near_duplicates
+    monkeypatch.setattr(P.simhash, "near_duplicates", lambda *a, **k: asked.append(k) or operator(*a, **k))
+    docs = documents(spark, [(5, "a text that comes twice in all"), (3, "a text that comes twice in all"), (9, "nothing of the kind, in words of its own")])
+    assert {r.doc_id for r in P.drop_near_duplicates(spark, docs, SMALL).collect()} == {3, 9} and asked
