@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import names as N
 from faultline.operators.people import look_alike_report, rank_look_alikes
-from faultline.operators.typosquat import typosquat_edges
+from faultline.operators.typosquat import _met, look_alikes, typosquat_edges
 
 
 def fold(name):
@@ -87,3 +87,31 @@ def test_report_merges_directions(spark, scratch):
     packages = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id bigint, name string").withColumn("last_published_at", F.lit(None).cast("timestamp_ntz"))
     got = [(r.package_id, r.candidate_id, r.edit_distance, r["rank"]) for r in rank_look_alikes(look_alike_report(edges, packages), scratch).collect()]
     assert sorted(got) == [(1, 2, 1, 2), (1, 3, 0, 1), (2, 1, 2, 1), (3, 1, 0, 1)]
+
+
+def test_few_names_are_spread_before_they_become_forms(spark):
+    names = spark.createDataFrame([("large-ring-1",), ("hot-bolt-2",)], "folded string")
+    found = look_alikes(names.withColumnRenamed("folded", "folded_candidate"), names.withColumnRenamed("folded", "folded_target"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Spark drops a spread by the distinct names' own key, and then puts their small partitions together
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_forms_of_no_popular_name_stay_out_of_the_join(spark):
+    rng = random.Random(11)
+    numbers = [rng.getrandbits(64) - 2**63 for _ in range(3000)]
+    forms = spark.createDataFrame([(n,) for n in numbers + [0, -1, 2**63 - 1, -(2**63)]], "form long")
+    popular = spark.createDataFrame([(n,) for n in numbers[:200] + [-1, -(2**63)]], "form long")
+    left = [r.form for r in _met(forms, popular).collect()]
+    assert set(numbers[:200]) | {-1, -(2**63)} <= set(left)
+    assert len(left) < 300
+
+
+def test_forms_are_the_string_without_up_to_two_characters(spark):
+    words = ["", "a", "ab", "aba", "aabb", "ünï-x"]
+    rows = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string").select("w", N.without_up_to_two(F.col("w")).alias("f")).collect()
+    for r in rows:
+        if r.w is not None:
+            want = {r.w} | {r.w[:i] + r.w[i + 1:] for i in range(len(r.w))}
+            want |= {r.w[:i] + r.w[i + 1:j] + r.w[j + 1:] for j in range(len(r.w)) for i in range(j)}
+            assert len(r.f) == len(set(r.f)) and set(r.f) == want
