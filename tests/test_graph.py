@@ -248,3 +248,27 @@ def test_changed_source_tables_are_noticed(spark, tmp_path):
     assert first == binding._state_of(spark, folder) and [name for name, *_ in first] == ["part"]
     spark.range(30).write.mode("overwrite").parquet(f"{folder}/part.parquet")
     assert binding._state_of(spark, folder) != first
+
+
+def test_pins_that_carry_their_release_need_no_versions(spark):
+    lock, package = IDS.base(X.LOCKFILE) + 1, IDS.base(X.PACKAGE) + 1
+    pins = spark.createDataFrame(
+        [(lock, 7, package, "1.0.0", False), (lock, 8, package, "2.0.0", True), (package, 7, package, "1.0.0", False), (lock, 9, package, "3.0.0", None)],
+        "src bigint, dst bigint, package_id bigint, semver string, compromised_window boolean",
+    )
+    incidents = spark.createDataFrame([(package, "1.0.0")], "root bigint, bad_version string")
+    got = {tuple(r) for r in P.lockfile_pins(pins, None, incidents, IDS).collect()}
+    assert got == {(package, lock, 7, "1.0.0", True), (package, lock, 8, "2.0.0", True), (package, lock, 9, "3.0.0", False)}
+
+
+def test_grouped_rows_are_numbered_after_one_shuffle(spark, scratch):
+    rows = [(None if i % 11 == 0 else i % 7, f"{i % 5}.0", i) for i in range(500)]
+    made = spark.createDataFrame(rows, "p int, s string, at int")
+    numbered = number_rows(made, [F.col("p"), F.col("s")], scratch, grouped=lambda d: d.groupBy("p", "s").agg(F.min("at").alias("at")))
+    least = {}
+    for p, s, at in rows:
+        least[p, s] = min(at, least.get((p, s), at))
+    order = sorted(least, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    assert {(r.p, r.s, r.at, r.position) for r in numbered.collect()} == {(*k, least[k], n) for n, k in enumerate(order)}
+    dealt = made.repartitionByRange("p", "s").groupBy("p", "s").agg(F.min("at"))
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
