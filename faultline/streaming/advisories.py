@@ -94,10 +94,10 @@ class Sweep:
         scratch = Scratch(self.spark, f"sweep-{batch}")
         fresh = self._run("advisories", rows, batch)
         named = scratch.keep(fresh.select("package_id").distinct(), "named")
-        # state and releases of the packages that this batch names
+        # state of the packages that this batch names; their releases are picked once, where they are matched
         earlier = self._state("advisories", batch).join(named, "package_id", "left_semi")
         raised = self._state("raised", batch).join(named, "package_id", "left_semi")
-        quiet = self.versions.where("NOT coalesce(compromised_window, false)").join(named, "package_id", "left_semi")
+        quiet = self.versions.where("NOT coalesce(compromised_window, false) AND package_id IS NOT NULL")
         window = affected_versions(quiet, fresh, scratch).select("id", "package_id").join(raised.select("id"), "id", "left_anti")
         opened = self._run("raised", window, batch)
 

@@ -85,6 +85,33 @@ def test_applying_advisories_bumps_caps_and_flags_once(spark, scratch):
     assert again.packages.where("newly_flagged OR new_ids > 0").count() == 0
 
 
+def _written(scratch, of):
+    """Rows of each table that a scratch area holds under a name."""
+    return [df.count() for df, path in scratch._written.values() if path.endswith(f"-{of}")]
+
+
+def test_releases_of_packages_without_advisories_go_no_further(spark, scratch):
+    versions = spark.createDataFrame(
+        [(n, 10 + n % 50, f"1.{n}.0", False) for n in range(500)] + [(900, None, "1.0.0", False)],
+        "id bigint, package_id bigint, semver string, compromised_window boolean",
+    )
+    advisories = _advisory_rows(spark, [("G1", 10, False, [], [("1.100.0", "1.300.0")]), ("G2", 10, False, ["1.450.0"], []), ("G3", None, False, [], [("1.0.0", None)])])
+    got = {r.id for r in A.affected_versions(versions, advisories, scratch).collect()}
+    assert got == {100, 150, 200, 250, 450, 900}  # null stands for a package like any other
+    # ten releases of the named package, one of the unnamed, two range bounds
+    assert _written(scratch, "asked-releases") == [11] and sorted(_written(scratch, "events")) == [0, 13]
+
+
+def test_package_state_alone_matches_no_release(spark, scratch):
+    packages = spark.createDataFrame([(1, False, 0.05)], "id bigint, is_compromised boolean, risk_score double")
+    versions = spark.createDataFrame([(20, 1, "1.0.0", False)], "id bigint, package_id bigint, semver string, compromised_window boolean")
+    none = spark.createDataFrame([], "package_id bigint, advisory_id string")
+    done = A.apply_advisories(packages, none, versions, _advisory_rows(spark, [("G", 1, False, [], [("0", None)])]), scratch)
+    assert done.packages.first().new_ids == 1 and _written(scratch, "events") == []
+    assert [r.id for r in done.windowed.collect()] == [20] and len(_written(scratch, "events")) == 2
+    assert done.windowed is done.windowed
+
+
 def test_lookup_and_first_seen(spark):
     packages = spark.createDataFrame([("npm", "b", 0), ("npm", "a", 1), ("npm", "c", 2)], "ecosystem string, name string, position int")
     rows = O.advisories_of(records(spark, ADVISORY))
