@@ -340,3 +340,45 @@ def test_a_larger_tree_comes_in_larger_batches():
     for files in (60_000, 360_000, 400_000):
         assert -(-files // files_per_batch(files)) <= BATCHES
     assert files_per_batch(10**8) == MOST_FILES
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_rows_are_written_by_several_tasks_and_empty_tables_cost_nothing(spark, tmp_path):
+    table = Buckets(spark, P.NODE_COLUMNS[X.MAINTAINER], "key", 16)
+    assert "LocalTableScan <empty>" in _plan(table.read()) and table.read().columns == ["id", "key", "name", "email"]
+    rows = spark.range(400).select("id", F.concat(F.lit("k"), "id").alias("key"), F.lit("x").alias("name"), F.lit(None).cast("string").alias("email"))
+    # nothing to merge with: rows are not moved again to meet a table without any
+    assert "FullOuter" not in _plan(U.upsert_nodes(table.read(), rows, F.lit(0)))
+    first = table.rewritten(rows, table.touched(rows), str(tmp_path / "one"))
+    written = [p for p in (tmp_path / "one").rglob("part-*.parquet")]
+    assert len(first.folders) == 16 == len(written) and len({p.name.split("-")[1] for p in written}) > 1
+    assert sorted(r.id for r in first.read().collect()) == list(range(400))
+
+
+def test_every_file_of_a_folder_is_read_once(spark, tmp_path):
+    root = tmp_path / "tree"
+    _put(root, "one/r1/package-lock.json", "{}")
+    _put(root, "one/r1/yarn.lock", "text")
+    _put(root, "one/r1/package.json", "manifest")
+    _put(root, "two/r2/web/package-lock.json", "alone")
+    _put(root, "two/r2/package.json", "of another folder")
+    _put(root, "three/r1/package-lock.json", "not asked for")
+    folders = spark.createDataFrame([(f"file:{root}/{f}",) for f in ("one/r1", "one/r1", "two/r2/web")], "folder string")
+    found = L.read_folders(spark, folders, str(root))
+    assert _plan(found).count("binaryFile") == 1
+    assert {(r.doc, r.revision, r.text, r.manifest) for r in found.collect()} == {
+        ("one/package-lock.json", "r1", "{}", "manifest"), ("one/yarn.lock", "r1", "text", "manifest"), ("two/web/package-lock.json", "r2", "alone", None),
+    }
+    assert found.count() == 3
+
+
+def test_a_rescan_leaves_the_settings_of_the_session(spark, tmp_path):
+    _, metadata, advisories = _inputs(spark)
+    names = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name, None) for name in names]
+    with pytest.raises(Exception):
+        Rescan(spark, str(tmp_path / "state"), metadata, advisories, IDS).prepare().run_once(str(tmp_path / "absent"))
+    assert [spark.conf.get(name, None) for name in names] == before

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.session import Scratch
 from faultline.sources import lockfiles as L
 from faultline.sources import registry as G
 
@@ -242,3 +243,31 @@ def test_registry_document(spark, tmp_path):
     assert [(r.name, r.username, r.email) for r in G.owners(docs).collect()] == [("a", "u", "u@x")]
     assert {r.semver for r in G.publications(docs).collect()} == {"1.0.0", "1.1.0"}
     assert [(r.name, r.latest) for r in G.latest_tags(docs).collect()] == [("a", "1.1.0")]
+
+
+class Watched(Scratch):
+    """Notes the plans of what is kept."""
+
+    def keep(self, df, name):
+        self.plans = {**getattr(self, "plans", {}), name: df._jdf.queryExecution().executedPlan().toString()}
+        return super().keep(df, name)
+
+
+def test_a_text_is_parsed_once(spark):
+    texts = [("a", json.dumps(NPM3)), ("empty", '{"packages":{}}'), ("none", '{"name":"x"}'), ("bad", "<html>"), ("null", '{"packages":{"node_modules/q":null}}')]
+    made = spark.createDataFrame([(d, t[:1], t[1:]) for d, t in texts], "doc string, head string, tail string").select("doc", F.concat("head", "tail").alias("text"))
+    watched = Watched(spark, "watched")
+    found = L.parse_npm(made, watched)
+    assert watched.plans["npm-entries"].count("from_json") == 1
+    assert {r.doc for r in found.releases.collect()} == {"a"}
+
+
+def test_a_manifest_is_parsed_once_for_all_sections(spark):
+    manifests = [
+        ("a", '{"dependencies":{"x":"^1","y":"2"},"optionalDependencies":{"x":"~3"},"devDependencies":{"z":"4"}}'), ("b", "{}"), ("c", "no JSON"), ("d", None),
+        ("e", '{"devDependencies":{"z":null}}'),
+    ]
+    rows = L.manifest_rows(spark.createDataFrame(manifests, "doc string, manifest string"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted(
+        [("a", "x", "^1", False), ("a", "y", "2", False), ("a", "x", "~3", False), ("a", "z", "4", True), ("e", "z", None, True)], key=repr)

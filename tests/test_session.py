@@ -23,3 +23,19 @@ def test_no_join_sends_a_large_table_through_the_driver(spark):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_a_table_asked_for_by_several_threads_is_derived_once(spark):
+    import time
+
+    from faultline.sources.binding import bind
+    from faultline.session import together
+
+    graph, built = bind(spark, "/absent"), []
+
+    def build():
+        built.append(1)
+        time.sleep(0.3)
+        return "table"
+
+    assert together({n: lambda: graph.once("t", build) for n in range(4)}) == dict.fromkeys(range(4), "table") and len(built) == 1
